@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Folds A-Z only; every other byte (UTF-8 continuation bytes included) stays.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -85,3 +86,15 @@ def mix64(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
     return x ^ (x >> np.uint64(32))
+
+
+#: Ids of 8 bytes that are sent to every executor at most; more are joined by a shuffle.
+BROADCAST_IDS = 2_000_000
+
+
+def without(spark: SparkSession, docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """docs without the rows whose doc_id is in ``dropped`` (doc_id); all columns stay, null ids too."""
+    ids = written(spark, dropped.select(F.col("doc_id").cast("long").alias("_dropped")).dropna().distinct(), "dropped")
+    if ids.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    return docs.join(ids, docs["doc_id"] == ids["_dropped"], "left_anti")

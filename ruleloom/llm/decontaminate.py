@@ -60,11 +60,12 @@ class Canonical:
                 kind = UNIT_KIND if token.lower() in UNITS else WORD_KIND
             return (xxhash.xxh3_64_intdigest(token.lower()) & MASK) << 3 | kind
 
-        self.codes = Memo(code)
+        # tokens never span a blank or a line's end, so what stands between them is remembered
+        self.codes = Memo(lambda chunk: np.array([code(t) for t in TOKEN.findall(chunk)], np.uint64).tobytes())
 
     def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        tokens = TOKEN.findall(text)
-        codes = np.fromiter(map(self.codes.__getitem__, tokens), np.uint64, len(tokens))
+        chunks = text.replace("\n", " \n ").split(" ")
+        codes = np.frombuffer(b"".join(map(self.codes.__getitem__, chunks)), np.uint64)
         kind = (codes & np.uint64(7)).astype(np.int8)
         word = kind != END_KIND
         # a sentence starts at the beginning and after an end
@@ -92,7 +93,8 @@ def windows(template: np.ndarray, size: int = WINDOW) -> tuple[np.ndarray, np.nd
         return template, np.zeros(0, bool)
     h = np.full(n - size + 1, size, np.uint64)
     for k in range(size):
-        h = mix64(h * np.uint64(0x9E3779B97F4A7C15) + template[k : n - size + 1 + k])
+        h = h * np.uint64(0x9E3779B97F4A7C15) + template[k : n - size + 1 + k]
+    h = mix64(h)
     literal = np.concatenate([[0], np.cumsum(~is_slot(template))])
     return h, literal[size:] - literal[: n - size + 1] >= min(LITERALS, size)
 

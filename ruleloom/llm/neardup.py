@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, Memo, byte_texts, mix64, written
+from .common import BROADCAST_IDS, LOWER, Memo, byte_texts, mix64, written
 
 BANDS, ROWS, HASHES = 32, 5, 256
 BATCH = 32
@@ -38,8 +38,6 @@ BATCH = 32
 MISS = 1e-6
 #: Classes compared at once.
 BLOCK = 512
-#: Ids of 8 bytes that are sent to every executor at most; more are joined by a shuffle.
-BROADCAST_IDS = 2_000_000
 SEED = 20240607
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, huffman, licenses, secret_scan, toxicity
+from . import bpe, decontaminate, html_text, huffman, licenses, neardup, pii, quality, secret_scan, toxicity
 from .common import table
 
 
@@ -22,15 +22,31 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents")).drop("detections")
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.scan(spark, table(spark, sf_dir, "documents"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     return toxicity.score(docs, toxicity.train(spark, docs, labels))
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.verdicts(spark, table(spark, sf_dir, "documents"))
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(spark, table(spark, sf_dir, "documents"))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.groups(spark, table(spark, sf_dir, "documents"))
+
+
 def op8_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return huffman.encode_and_digest(spark, table(spark, sf_dir, "documents"), tokenizer_json("word_bpe_49k.json"))
 
@@ -39,12 +55,47 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(table(spark, sf_dir, "documents"), tokenizer_json("byte_bpe_50k.json"))
 
 
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
+    "op2_pii": op2_pii,
     "op3_toxicity": op3_toxicity,
+    "op4_quality_rules": op4_quality_rules,
     "op5_secret_scan": op5_secret_scan,
+    "op6_decontamination": op6_decontamination,
+    "op7_near_duplicates": op7_near_duplicates,
     "op8_token_blocks": op8_token_blocks,
     "op9_bpe": op9_bpe,
+    "op10_html_text": op10_html_text,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: Near duplicates by brute force: sets of shingles, links over shared shingles, and what they reach.
+NEAR_DUPLICATES_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[\x20\x09-\x0D]+'), x -> x <> '') AS words
+  FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, CASE WHEN len(words) >= 4 THEN words[i:i + 3] ELSE words END AS g
+  FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 3, 1) + 1)) AS i FROM w WHERE len(words) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c
+  FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (
+  SELECT p.a, p.b FROM p JOIN n x ON x.doc_id = p.a JOIN n y ON y.doc_id = p.b
+  WHERE 100 * c >= 80 * (x.n + y.n - c)),
+r(a, b) AS (
+  SELECT doc_id, doc_id FROM documents
+  UNION
+  SELECT r.a, l.b FROM r JOIN l ON l.a = r.b)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, m.component_id, m.component_id = d.doc_id AS kept
+FROM documents d
+JOIN (SELECT a, min(b) AS component_id FROM r GROUP BY a) m ON m.a = d.doc_id
+LEFT JOIN n ON n.doc_id = d.doc_id
+""".replace("\\\\", "\\")
+
+ORACLE_SQL: dict[str, str] = {"op7_near_duplicates": NEAR_DUPLICATES_SQL}
