@@ -76,7 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 NEAR_DUPLICATES_SQL = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-           '[\x20\x09-\x0D]+'), x -> x <> '') AS words
+           '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words
   FROM documents),
 s AS (
   SELECT DISTINCT doc_id, CASE WHEN len(words) >= 4 THEN words[i:i + 3] ELSE words END AS g
@@ -96,6 +96,6 @@ SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, m.component_id,
 FROM documents d
 JOIN (SELECT a, min(b) AS component_id FROM r GROUP BY a) m ON m.a = d.doc_id
 LEFT JOIN n ON n.doc_id = d.doc_id
-""".replace("\\\\", "\\")
+"""
 
 ORACLE_SQL: dict[str, str] = {"op7_near_duplicates": NEAR_DUPLICATES_SQL}
