@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MEMO_ENTRIES, texts
+from .common import MEMO_ENTRIES, slices, texts
 
 #: Bytes of a word up to which ranks are scanned.
 SHORT = 48
@@ -230,11 +230,8 @@ def encoded(docs: DataFrame, tokenizer_json: str, describe, schema: str, keep: l
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = ByteBPE(tokenizer_json)
-        for batch in batches:
-            # small steps: a step's ids and decoded texts are all that is held besides the batch
-            for start in range(0, batch.num_rows, 512):
-                part = batch.slice(start, 512)
-                yield describe(bpe, part, bpe.encode_batch(texts(part.column("text"))))
+        for part in slices(batches, 512):
+            yield describe(bpe, part, bpe.encode_batch(texts(part.column("text"))))
 
     return docs.select(*(keep or ["doc_id"]), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 

@@ -69,16 +69,11 @@ def texts(column: pa.Array) -> list[str]:
     return ["" if x is None else x for x in column.to_pylist()]
 
 
-def per_batch(make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]]):
-    """For mapInArrow: ``make`` runs once a task and returns the function applied to each batch."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        step = make()
-        for batch in batches:
-            if batch.num_rows:
-                yield step(batch)
-
-    return run
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Batches in small pieces, so that only a piece's texts become Python objects at once."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Memo, mix64, texts
+from .common import Memo, mix64, slices, texts
 
 WINDOW = 8
 #: Literal tokens that a window needs, lest placeholders alone match.
@@ -213,7 +213,7 @@ def leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, share: flo
 
         def run(batches: Iterator[pa.RecordBatch], bench=bench) -> Iterator[pa.RecordBatch]:
             canonical, index = Canonical(), bench.value
-            for batch in batches:
+            for batch in slices(batches):
                 rows = []
                 for doc, text in zip(batch.column("doc_id").to_pylist(), texts(batch.column("text")), strict=True):
                     rows += [(doc, *x) for x in index.leaks(*canonical(text), share)]

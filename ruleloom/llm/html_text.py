@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts
+from .common import slices, texts
 
 MARKUP = re.compile(
     r"<!--(?:.*?(?:-->|--!>)|.*)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"'=]|=\s*\"[^\"]*\"|=\s*'[^']*'|=|[\"'])*+)(>|\Z)|<[!?/](?:[^>]*(?:>|\Z))", re.S
@@ -273,7 +273,7 @@ def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) for every row of pages; null and empty pages give empty texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             out = [main_text(x) for x in texts(batch.column("html"))]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("page_id"), batch.column("url"), pa.array(out, pa.string()), pa.array([len(x) for x in out], pa.int64())],

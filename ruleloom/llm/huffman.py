@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Memo, scratch, texts, written
+from .common import Memo, scratch, slices, texts, written
 
 CODE_LIMIT = 16
 CHECKPOINT_IDS = 256
@@ -189,7 +189,7 @@ def tokenized(docs: DataFrame, tokenizer_json: str, end_id: int = END_ID) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = word_encoder(tokenizer_json), np.array([end_id], "<u4").tobytes()
-        for batch in batches:
+        for batch in slices(batches):
             ids = [np.frombuffer(encode(t) + end, "<u4").astype(wide) for t in texts(batch.column("text"))]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array([x.tobytes() for x in ids], pa.binary())], ["doc_id", "ids"]

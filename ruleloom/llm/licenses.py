@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_texts
+from .common import byte_texts, slices
 from .license_rules import BASE_PHRASES, rules
 
 #: ASCII letters (lower-cased), digits and all bytes of non-ASCII characters stay; the rest is space.
@@ -124,7 +124,7 @@ def scan(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner()
-        for batch in batches:
+        for batch in slices(batches):
             rows = [scanner.scan(t) for t in byte_texts(batch.column("text"))]
             for row, doc in zip(rows, batch.column("doc_id").to_pylist(), strict=True):
                 row["doc_id"] = doc

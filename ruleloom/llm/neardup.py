@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, LOWER, Memo, byte_texts, mix64, written
+from .common import BROADCAST_IDS, LOWER, Memo, byte_texts, mix64, slices, written
 
 BANDS, ROWS, HASHES = 32, 5, 256
 BATCH = 32
@@ -104,7 +104,7 @@ def signatures(docs: DataFrame, shingle_words: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, (a, b) = word_hashes(), hash_family()
-        for batch in batches:
+        for batch in slices(batches):
             n, d1, d2, keys, sig = [], [], [], [], []
             for text in byte_texts(batch.column("text")):
                 own = shingle_set(hashes(text.translate(LOWER).split()), shingle_words)
@@ -197,17 +197,15 @@ def shingle_arrays(docs: DataFrame, shingle_words: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = word_hashes()
-        for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
-                sets = [shingle_set(hashes(t.translate(LOWER).split()), shingle_words) for t in byte_texts(part.column("text"))]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column("class"), pa.array([set_digest(x)[0] if len(x) else 0 for x in sets], pa.int64()),
-                        pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64())),
-                    ],
-                    ["class", "d1", "set"],
-                )
+        for part in slices(batches):
+            sets = [shingle_set(hashes(t.translate(LOWER).split()), shingle_words) for t in byte_texts(part.column("text"))]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    part.column("class"), pa.array([set_digest(x)[0] if len(x) else 0 for x in sets], pa.int64()),
+                    pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64())),
+                ],
+                ["class", "d1", "set"],
+            )
 
     return docs.mapInArrow(run, "class long, d1 long, set array<long>")
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import texts, written
+from .common import slices, texts, written
 
 KINDS = ["assign", "access", "hex", "random"]
 ASSIGN = re.compile(
@@ -214,7 +214,7 @@ def scored(docs: DataFrame) -> DataFrame:
     """Base spans and tested candidates of every document (null text: none)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for doc, text in zip(batch.column("doc_id").to_pylist(), texts(batch.column("text")), strict=True):
                 base = base_spans(text)
@@ -301,7 +301,7 @@ def redact(spark: SparkSession, docs: DataFrame, mark: str = "[SECRET]") -> Data
     names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             new, sizes = [], []
             for text in batch.column(names.index("text")).to_pylist():
                 spans = []

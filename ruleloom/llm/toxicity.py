@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import texts, written
+from .common import slices, texts, written
 
 #: Bound on labelled rows that train the classifier.
 SAMPLE = 20_000
@@ -78,7 +78,7 @@ def feature_counts(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, n = np.zeros((2, 1 << BITS), np.int32), [0, 0]
-        for batch in batches:
+        for batch in slices(batches):
             for text, toxic in zip(texts(batch.column("text")), batch.column("toxic").to_pylist(), strict=True):
                 side = int(toxic > 0)
                 counts[side][np.unique(ngrams(text))] += 1
@@ -156,7 +156,7 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int =
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = np.full(1 << BITS, -1, np.int32)
         place[features] = np.arange(len(features))
-        for batch in batches:
+        for batch in slices(batches):
             hits, dense = [], []
             for text in texts(batch.column("text")):
                 got = place[ngrams(text)]
@@ -191,7 +191,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float]) -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = np.full(1 << BITS, -1, np.int16)
         place[features] = np.arange(len(features))
-        for batch in batches:
+        for batch in slices(batches):
             out = np.full(batch.num_rows, bias)
             for k, text in enumerate(texts(batch.column("text"))):
                 got = place[ngrams(text)]
