@@ -11,6 +11,8 @@ kept as 64-bit hashes. Documents with equal sets form a class, and only classes
 3. Keys that still hold classes of different groups have them compared in blocks of BLOCK classes,
    pairs of blocks when there are more. Only pairs of different groups, at the first band
    that they share, are looked at, so a group of copies costs no row for each of its pairs.
+   These classes get MORE_HASHES further min-hashes, so that pairs just below the similarity,
+   of which a group of copies has many, are told apart without looking at their sets.
 4. Verification compares the signatures batch by batch and drops a pair as soon as, given the
    matches so far, the posterior chance of the sought similarity is below MISS. Survivors are
    confirmed on their full sets.
@@ -22,6 +24,7 @@ the corpus reaches the driver.
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -33,7 +36,10 @@ from pyspark.sql import functions as F
 from .common import BROADCAST_IDS, LOWER, Memo, byte_texts, mix64, slices, written
 
 BANDS, ROWS, HASHES = 32, 5, 256
-BATCH = 32
+#: Further hashes of classes whose pairs stay undecided after these.
+MORE_HASHES = 2048
+#: Numbers of hashes after which a pair may be dropped: batches of 32, then of 256.
+ENDS = [*range(32, HASHES + 1, 32), *range(HASHES + 256, HASHES + MORE_HASHES + 1, 256)]
 #: A pair is dropped when the chance that it reaches the similarity is below this.
 MISS = 1e-6
 #: Classes compared at once.
@@ -74,17 +80,18 @@ def set_digest(shingles: np.ndarray) -> tuple[int, int]:
     return tuple(int(x.sum(dtype=np.uint64).view(np.int64)) for x in (shingles, again))
 
 
-def hash_family() -> tuple[np.ndarray, np.ndarray]:
-    rng = np.random.default_rng(SEED)
-    a = rng.integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    return a, rng.integers(0, 1 << 63, HASHES, dtype=np.uint64)
+def hash_family(count: int, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng(seed)
+    a = rng.integers(1, 1 << 63, count, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    return a, rng.integers(0, 1 << 63, count, dtype=np.uint64)
 
 
 def min_hashes(shingles: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """HASHES minima of (a * x + b) mod 2**64 over the set, their upper halves."""
-    out = np.full(HASHES, np.iinfo(np.uint64).max, np.uint64)
-    for start in range(0, len(shingles), 512):
-        out = np.minimum(out, (np.multiply.outer(a, shingles[start : start + 512]) + b[:, None]).min(axis=1))
+    """Minima of each (a * x + b) mod 2**64 over the set, their upper halves."""
+    out = np.full(len(a), np.iinfo(np.uint64).max, np.uint64)
+    step = max(16, (1 << 17) // len(a))
+    for start in range(0, len(shingles), step):
+        out = np.minimum(out, (np.multiply.outer(a, shingles[start : start + step]) + b[:, None]).min(axis=1))
     return (out >> np.uint64(32)).astype(np.uint32)
 
 
@@ -103,7 +110,7 @@ def signatures(docs: DataFrame, shingle_words: int) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, (a, b) = word_hashes(), hash_family()
+        hashes, (a, b) = word_hashes(), hash_family(HASHES)
         for batch in slices(batches):
             n, d1, d2, keys, sig = [], [], [], [], []
             for text in byte_texts(batch.column("text")):
@@ -133,17 +140,19 @@ def signatures(docs: DataFrame, shingle_words: int) -> DataFrame:
 # ---- verification -----------------------------------------------------------------------------
 
 
+@functools.cache
 def least_matches(threshold: float, miss: float = MISS) -> list[int]:
-    """For each number of batches compared, the fewest matches that a pair needs to go on.
+    """For each of ENDS, the fewest matches that a pair needs to go on.
 
     With a uniform prior, P(J >= t | m of n match) = P(Bin(n + 1, t) <= m).
     """
     out = []
-    for n in range(BATCH, HASHES + 1, BATCH):
+    for n in ENDS:
         total, m = 0.0, -1
         while True:
             j = m + 1
-            total += math.comb(n + 1, j) * threshold**j * (1 - threshold) ** (n + 1 - j)
+            log = math.lgamma(n + 2) - math.lgamma(j + 1) - math.lgamma(n + 2 - j) + j * math.log(threshold) + (n + 1 - j) * math.log1p(-threshold)
+            total += math.exp(log)
             if total >= miss:
                 break
             m += 1
@@ -156,10 +165,10 @@ def surviving(left: np.ndarray, right: np.ndarray, sizes_left: np.ndarray, sizes
     small, large = np.minimum(sizes_left, sizes_right), np.maximum(sizes_left, sizes_right)
     live = np.flatnonzero(small >= threshold * large - 1e-9)
     matches = np.zeros(len(live), np.int64)
-    for k, least in enumerate(least_matches(threshold)):
-        if not len(live):
+    for start, end, least in zip([0, *ENDS], ENDS, least_matches(threshold), strict=False):
+        if not len(live) or end > left.shape[1]:
             break
-        part = slice(k * BATCH, (k + 1) * BATCH)
+        part = slice(start, end)
         matches += (left[live, part] == right[live, part]).sum(axis=1)
         go = matches >= least
         live, matches = live[go], matches[go]
@@ -210,22 +219,44 @@ def shingle_arrays(docs: DataFrame, shingle_words: int) -> DataFrame:
     return docs.mapInArrow(run, "class long, d1 long, set array<long>")
 
 
+def texts_of(spark: SparkSession, docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(class, text) of the classes in ids (class)."""
+    ids = written(spark, ids.distinct(), "wanted")
+    if ids.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    own = docs.select(F.col("doc_id").cast("long").alias("class"), F.col("text").cast("string").alias("text"))
+    return own.join(ids, "class", "left_semi")
+
+
+def further_signatures(docs: DataFrame, shingle_words: int) -> DataFrame:
+    """(class, d1, more): MORE_HASHES further min-hashes' low bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, (a, b) = word_hashes(), hash_family(MORE_HASHES, SEED + 1)
+        for part in slices(batches):
+            sets = [shingle_set(hashes(t.translate(LOWER).split()), shingle_words) for t in byte_texts(part.column("text"))]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    part.column("class"), pa.array([set_digest(x)[0] if len(x) else 0 for x in sets], pa.int64()),
+                    pa.array([min_hashes(x, a, b).astype(np.uint8).tobytes() for x in sets], pa.binary()),
+                ],
+                ["class", "d1", "more"],
+            )
+
+    return docs.mapInArrow(run, "class long, d1 long, more binary")
+
+
+def standing(spark: SparkSession, rows: DataFrame, classes: DataFrame, label: str) -> DataFrame:
+    """Of rows that repeat an id, the one that stands for it, told by its digest."""
+    return written(
+        spark, rows.join(classes.select("class", "d1"), ["class", "d1"], "left_semi").dropDuplicates(["class"]), label
+    )
+
+
 def confirm(spark: SparkSession, docs: DataFrame, classes: DataFrame, pairs: DataFrame, shingle_words: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets reach the similarity."""
-    wanted = written(spark, pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct(), "wanted")
-    if wanted.count() <= BROADCAST_IDS:
-        wanted = F.broadcast(wanted)
-    own = docs.select(F.col("doc_id").cast("long").alias("class"), F.col("text").cast("string").alias("text")).join(
-        wanted, "class", "left_semi"
-    )
-    # of rows that repeat an id, the one that stands for it is told by its digest
-    sets = written(
-        spark,
-        shingle_arrays(own, shingle_words)
-        .join(classes.select("class", "d1"), ["class", "d1"], "left_semi")
-        .dropDuplicates(["class"]),
-        "sets",
-    )
+    own = texts_of(spark, docs, pairs.select(F.explode(F.array("a", "b")).alias("class")))
+    sets = standing(spark, shingle_arrays(own, shingle_words), classes, "sets")
     both = pairs.join(sets.select(F.col("class").alias("a"), F.col("set").alias("x")), "a").join(
         sets.select(F.col("class").alias("b"), F.col("set").alias("y")), "b"
     )
@@ -293,7 +324,9 @@ def pivot_pairs(spark: SparkSession, members: DataFrame) -> DataFrame:
     )
 
 
-def open_pairs(spark: SparkSession, members: DataFrame, labels: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
+def open_pairs(
+    spark: SparkSession, docs: DataFrame, members: DataFrame, labels: DataFrame, classes: DataFrame, shingle_words: int, threshold: float
+) -> DataFrame:
     """(a, b): the surviving pairs that share a key but not yet a group.
 
     Keys of over BLOCK classes are cut into blocks by a hash, and each two blocks meet in a group of
@@ -308,13 +341,16 @@ def open_pairs(spark: SparkSession, members: DataFrame, labels: DataFrame, class
     )
     spread = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
     mixed = written(spark, spread.filter("low != high").select("key"), "mixed")
+    left = written(spark, named.join(mixed, "key", "left_semi"), "left")
+    own = texts_of(spark, docs, left.select("class"))
+    more = standing(spark, further_signatures(own, shingle_words), classes, "more")
+    signed = classes.join(more.select("class", "more"), "class").select("class", "n_shingles", "keys", F.concat("sig", "more").alias("sig"))
     rows = (
-        named.join(mixed, "key", "left_semi")
-        .withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+        left.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
         .withColumn("own", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "class", "component")
-        .join(classes.select("class", "n_shingles", "keys", "sig"), "class")
+        .join(written(spark, signed, "signed"), "class")
     )
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j", "class")
@@ -324,7 +360,7 @@ def open_pairs(spark: SparkSession, members: DataFrame, labels: DataFrame, class
         if component.min() == component.max():
             return []
         sizes, own = rows.column("n_shingles").to_numpy(), rows.column("own").to_numpy()
-        sig = np.frombuffer(b"".join(rows.column("sig").to_pylist()), np.uint8).reshape(-1, HASHES)
+        sig = np.frombuffer(b"".join(rows.column("sig").to_pylist()), np.uint8).reshape(len(ids), -1)
         bands = rows.column("keys").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
         band = int(np.flatnonzero(bands[0] == key)[0])
         found = []
@@ -336,7 +372,7 @@ def open_pairs(spark: SparkSession, members: DataFrame, labels: DataFrame, class
                 y = y[~(bands[y, :band] == bands[x, :band]).any(axis=1)]
             if not len(y):
                 continue
-            live = surviving(np.broadcast_to(sig[x], (len(y), HASHES)), sig[y], np.full(len(y), sizes[x]), sizes[y], threshold)
+            live = surviving(np.broadcast_to(sig[x], (len(y), sig.shape[1])), sig[y], np.full(len(y), sizes[x]), sizes[y], threshold)
             if len(live):
                 found.append((np.full(len(live), ids[x]), ids[y[live]]))
         return found
@@ -401,7 +437,7 @@ def groups(spark: SparkSession, docs: DataFrame, shingle_words: int = 4, percent
     links = written(spark, confirm(spark, docs, classes, pivots, shingle_words, percent), "links")
     labels = written(spark, components(spark, links), "labels")
 
-    rest = written(spark, open_pairs(spark, members, labels, classes, threshold), "open")
+    rest = written(spark, open_pairs(spark, docs, members, labels, classes, shingle_words, threshold), "open")
     more = confirm(spark, docs, classes, rest, shingle_words, percent)
     # groups so far stand for their members
     merged = written(
