@@ -47,7 +47,7 @@ ENCODINGS = [
 ORDER = {c: k for k, c in enumerate("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz+/_-=")}
 
 #: Chance that two letters of prose are equal, and that neighbours in an identifier differ in class.
-PROSE_COLLISION, CLASS_CHANGE = 0.066, 0.12
+PROSE_COLLISION, CLASS_CHANGE = 0.066, 0.15
 #: Tests below this chance under uniform randomness say that the token is structured.
 STRUCTURED = 1e-3
 #: Upper ends of the classes of length.
@@ -144,7 +144,8 @@ def battery(token: str) -> tuple[str, float]:
             return encoding, 1.0
     few = _gamma_upper(collisions + 1, n * (n - 1) / 2 * PROSE_COLLISION)  # P(Poisson <= collisions)
     classes = [_class(c) for c in body]
-    changes = sum(a != b for a, b in zip(classes, classes[1:], strict=False))
+    # a capital before a small letter starts a word, in prose and in identifiers alike
+    changes = sum(a != b and (a, b) != (1, 0) for a, b in zip(classes, classes[1:], strict=False))
     many = _binomial_upper(n - 1, CLASS_CHANGE, changes)
     x = -math.log(max(few, 1e-300)) - math.log(max(many, 1e-300))
     return encoding, min(1.0, math.exp(-x) * (1 + x))

@@ -72,7 +72,7 @@ def test_pii_many_spans(spark):
 
 def test_quality(spark):
     r = random.Random(5)
-    clean = [" ".join(r.choice("alpha beta gamma delta eps zeta eta theta iota kappa mu nu".split()) + str(r.randint(0, 9999)) for _ in range(r.randint(30, 120))) for _ in range(150)]
+    clean = [" ".join(r.choice("alpha beta gamma delta eps zeta eta theta iota kappa mu nu".split()) + str(r.randint(0, 9999)) for _ in range(r.randint(30, 120))) for _ in range(300)]
     junk = [" ".join(w + "###%%%" for w in t.split()) for t in clean[:4]]
     docs = documents(spark, ODD + clean + junk)
     got = by_id(quality.verdicts(spark, docs))
@@ -81,8 +81,8 @@ def test_quality(spark):
         assert (row["n_words"], row["word_chars"], row["n_symbols"], row["n_dup_lines"], row["n_repeat_words"], row["base_failed"]) == brute.quality(text), text
         assert not (row["kept"] and row["base_failed"])
     n = len(ODD)
-    assert all(got[n + k]["kept"] for k in range(150))
-    assert not any(got[n + 150 + k]["kept"] for k in range(4))
+    assert all(got[n + k]["kept"] for k in range(300))
+    assert not any(got[n + 300 + k]["kept"] for k in range(4))
     assert quality.verdicts(spark, empty(spark)).count() == 0
 
 
