@@ -176,6 +176,34 @@ def multiset_add(a: DataFrame, b: DataFrame) -> DataFrame:
     return both.groupBy(*SPO).agg(F.sum("cnt").alias("cnt"))
 
 
+# ---- changes to a stored table ----------------------------------------------------------------
+
+
+def insert_absent(table: DataFrame, rows: DataFrame) -> DataFrame:
+    """The table with the rows whose triple it lacks; of repeated ones the lowest step."""
+    own = [c for c in table.columns if c not in SPO]
+    fresh = rows.join(table.select(*SPO), SPO, "left_anti").groupBy(*SPO).agg(*[F.min(c).alias(c) for c in own])
+    return table.unionByName(fresh.select(*table.columns))
+
+
+def upsert_counts(table: DataFrame, rows: DataFrame) -> DataFrame:
+    """(s, p, o, step, cnt): counts of both added up, with the lowest step."""
+    return sum_counts(table.select(*SPO, "step", "cnt").unionByName(rows.select(*SPO, "step", "cnt")))
+
+
+def decrease_or_remove(table: DataFrame, rows: DataFrame) -> DataFrame:
+    """The table less the rows' counts (s, p, o, cnt); triples that fall to zero or below go."""
+    less = rows.groupBy(*SPO).agg(F.sum("cnt").alias("_less"))
+    left = table.join(less, SPO, "left").withColumn("cnt", F.col("cnt") - F.coalesce("_less", F.lit(0)))
+    return left.filter("cnt > 0").select(*table.columns)
+
+
+def remove_derived(table: DataFrame, rows: DataFrame) -> DataFrame:
+    """The table without the rows' triples, except those of step 0."""
+    gone = rows.select(*SPO).distinct().withColumn("_gone", F.lit(True))
+    return table.join(gone, SPO, "left").filter("step = 0 or _gone is null").select(*table.columns)
+
+
 def sort_distinct(lines: DataFrame, column: str = "value") -> DataFrame:
     """Distinct lines in a global order (ranges over partitions, then sorted within each)."""
     return lines.select(column).distinct().orderBy(column)

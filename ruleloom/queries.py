@@ -320,6 +320,49 @@ def multiset_add(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.multiset_add(rows, rows.filter("step = 1"))
 
 
+#: Counted triples merged to one row each, and those of quantity above 25 alone, as table and change.
+MERGED = f"SELECT s, p, o, min(step) AS step, CAST(sum(cnt) AS BIGINT) AS cnt FROM ({duck(COUNTED)}) GROUP BY s, p, o"
+CHANGE = f"SELECT s, p, o, step, cnt FROM ({duck(COUNTED)}) WHERE cnt > 25"
+
+
+def change(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    rows = g.run(spark, sf_dir, COUNTED)
+    return t.sum_counts(rows.filter("step > 2")), rows.filter("cnt > 25")
+
+
+SMALL = MERGED.replace(" GROUP BY", " WHERE step > 2 GROUP BY")
+
+
+@query(
+    f"WITH a AS ({SMALL}), b AS ({CHANGE}) SELECT s, p, o, step, cnt FROM a UNION ALL"
+    " SELECT s, p, o, min(step) AS step, min(cnt) AS cnt FROM b WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.s = b.s AND a.p = b.p AND a.o = b.o) GROUP BY s, p, o"
+)
+def insert_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return t.insert_absent(*change(spark, sf_dir))
+
+
+@query(f"SELECT s, p, o, min(step) AS step, CAST(sum(cnt) AS BIGINT) AS cnt FROM (SELECT * FROM ({SMALL}) UNION ALL SELECT * FROM ({CHANGE})) GROUP BY s, p, o")
+def upsert_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return t.upsert_counts(*change(spark, sf_dir))
+
+
+@query(
+    f"WITH a AS ({SMALL}), b AS (SELECT s AS s2, p AS p2, o AS o2, sum(cnt) AS n FROM ({CHANGE}) GROUP BY ALL)"
+    " SELECT s, p, o, step, CAST(cnt - coalesce(n, 0) AS BIGINT) AS cnt FROM a LEFT JOIN b ON s = s2 AND p = p2 AND o = o2 WHERE cnt > coalesce(n, 0)"
+)
+def decrease_or_remove(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return t.decrease_or_remove(*change(spark, sf_dir))
+
+
+@query(
+    f"WITH a AS (SELECT s, p, o, step - 1 AS step, cnt FROM ({MERGED})), b AS ({CHANGE})"
+    " SELECT * FROM a WHERE step = 0 OR NOT EXISTS (SELECT 1 FROM b WHERE a.s = b.s AND a.p = b.p AND a.o = b.o)"
+)
+def remove_derived(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = g.run(spark, sf_dir, COUNTED)
+    return t.remove_derived(t.sum_counts(rows).withColumn("step", F.col("step") - 1), rows.filter("cnt > 25"))
+
+
 @query(f"SELECT * FROM {rows_of(g.FULL)} EXCEPT SELECT * FROM {rows_of(g.CORE)}")
 def set_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.difference(graph(spark, sf_dir, g.FULL), graph(spark, sf_dir, g.CORE))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: subject, predicate, object; a literal keeps its quotes, escapes, language tag and datatype.
@@ -31,6 +31,13 @@ def counts(parsed: DataFrame) -> DataFrame:
     return parsed.agg(F.count_if("ok").alias("parsed"), F.count_if(~F.col("ok")).alias("malformed"))
 
 
+def observed(parsed: DataFrame) -> tuple[DataFrame, Observation]:
+    """The well-formed triples, and counters that whatever runs over them fills on the way."""
+    seen = Observation("ntriples")
+    watched = parsed.observe(seen, F.count_if("ok").alias("parsed"), F.count_if(~F.col("ok")).alias("malformed"))
+    return watched.filter("ok").select("s", "p", "o"), seen
+
+
 def own_bnodes(term: Column, file: Column) -> Column:
     """Blank nodes renamed by their file, since labels are only unique in one."""
     name = F.regexp_replace(file, "[^A-Za-z0-9]", "")
