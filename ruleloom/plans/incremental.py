@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..model import SPO, RuleSet
 from ..sources.lineage import written
-from .closure import ROUNDS, SMALL_DELTA, Fixpoint, add_counts, candidates, union_all
+from .closure import ROUNDS, SMALL_DELTA, Fixpoint, add_counts, union_all
 from .compiler import Source, apply_once, consequences
 
 
@@ -137,5 +137,3 @@ def remove_counting(table: DataFrame, facts: DataFrame, rules: RuleSet) -> DataF
         delta = written(alive.filter("cnt <= 0").select(*SPO), "dead")
     raise RuntimeError(f"no fixpoint after {ROUNDS} rounds")
 
-
-__all__ = ["add", "remove", "remove_counting", "recount", "overdeleted", "candidates"]
