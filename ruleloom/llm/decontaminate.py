@@ -124,7 +124,6 @@ class Bench:
         self.hash = h[order]
         self.owner = np.concatenate(owner)[order] if hashes else np.empty(0, np.int64)
         self.place = np.concatenate(place)[order] if hashes else np.empty(0, np.int64)
-        self.short = any(len(t) < WINDOW for t in self.template)
         self.sizes = sorted({len(t) for t in self.template if len(t) < WINDOW})
         bits = max(16, min(26, int(np.ceil(np.log2(max(1, len(self.hash)) * 64)))))
         self.shift = np.uint64(64 - bits)

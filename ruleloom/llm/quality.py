@@ -13,8 +13,6 @@ whatever a group holds; nothing is sampled.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 

@@ -270,9 +270,6 @@ def scan(spark: SparkSession, docs: DataFrame, false_discovery: float = FALSE_DI
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_random: one row for each row of docs."""
     scores = written(spark, scored(docs), "secrets")
     least = thresholds(scores, false_discovery)
-    accept = F.lit(False)
-    for length, bin_ in sorted(least.items()):
-        accept = accept | ((F.lit(length) == F.col("x.length_class")) & (F.col("x.bin") >= bin_))
     random = F.expr(
         "filter(found, x -> " + (" or ".join(f"(x.length_class = {k} and x.bin >= {b})" for k, b in sorted(least.items())) or "false") + ")"
     )
