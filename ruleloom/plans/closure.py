@@ -51,21 +51,27 @@ class Fixpoint:
         self.rounds = 0
 
     def run(self, delta: DataFrame, step: int = 1) -> list[DataFrame]:
-        """The new triples of each round (s, p, o, step); delta must be disjoint from ``known``."""
-        new = []
-        schema = [x for x in [Source(union_all(self.known), self.rules).schema] if x is not None] if self.known else []
+        """The new triples of each round (s, p, o, step); delta must be a stored table disjoint from ``known``."""
+        new, schema, schema_rows = [], [], 0
+        if self.known:
+            first = Source(union_all(self.known), self.rules)
+            schema, schema_rows = [first.schema] if first.schema is not None else [], first.schema_rows
+        size = delta.count()
         while True:
             if self.rounds >= ROUNDS:
                 raise RuntimeError(f"no fixpoint after {ROUNDS} rounds")
             self.rounds += 1
-            own = Source(delta, self.rules, small=bool(self.known) and delta.limit(SMALL_DELTA + 1).count() <= SMALL_DELTA)
+            own = Source(delta, self.rules, small=bool(self.known) and size <= SMALL_DELTA)
             if self.known:
-                before = Source(union_all(self.known), self.rules, union_all(schema) if schema else None)
-                schema += [own.schema] if own.schema is not None else []
-                every = Source(union_all([*self.known, delta.select(*SPO)]), self.rules, union_all(schema) if schema else None)
+                before = Source(union_all(self.known), self.rules, union_all(schema) if schema else None, schema_rows)
+            schema += [own.schema] if own.schema is not None else []
+            schema_rows += own.schema_rows
+            if self.known:
+                every = Source(
+                    union_all([*self.known, delta.select(*SPO)]), self.rules, union_all(schema) if schema else None, schema_rows
+                )
                 rows = consequences(self.rules, every, own, before)
             else:
-                schema += [own.schema] if own.schema is not None else []
                 rows = apply_once(self.rules, own)
             self.known.append(delta.select(*SPO))
             if rows is None:
@@ -76,7 +82,8 @@ class Fixpoint:
                 rows = counted
             fresh = rows.select(*SPO).distinct().join(candidates(union_all(self.known), self.rules), SPO, "left_anti")
             delta = written(fresh.withColumn("step", F.lit(step)), "delta")
-            if delta.isEmpty():
+            size = delta.count()
+            if not size:
                 return new
             new.append(delta)
             step += 1

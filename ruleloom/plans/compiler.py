@@ -26,13 +26,17 @@ class Source:
     The schema part is one small scan; it is broadcast only if its counted size allows.
     """
 
-    def __init__(self, triples: DataFrame, rules: RuleSet, schema: DataFrame | None = None, small: bool = False):
+    def __init__(
+        self, triples: DataFrame, rules: RuleSet, schema: DataFrame | None = None, schema_rows: int | None = None, small: bool = False
+    ):
         self.triples = triples
         atoms = rules.schema_atoms()
         if schema is None and atoms:
             schema = written(schema_filter_rules(triples.select(*SPO), atoms), "schema")
         self.schema = schema
-        self.few = schema is not None and schema.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+        #: Counted from the files' footers unless the caller knows.
+        self.schema_rows = schema_rows if schema_rows is not None else schema.count() if schema is not None else 0
+        self.few = self.schema_rows <= BROADCAST_ROWS
         #: All of it may be broadcast (a delta of few rows).
         self.small = small
 

@@ -52,7 +52,7 @@ def overdeleted(table: DataFrame, first: DataFrame, rules: RuleSet) -> DataFrame
     every = Source(known, rules)
     gone, delta = [first.select(*SPO)], first.select(*SPO)
     for _ in range(ROUNDS):
-        own = Source(delta, rules, small=delta.limit(SMALL_DELTA + 1).count() <= SMALL_DELTA)
+        own = Source(delta, rules, small=delta.count() <= SMALL_DELTA)
         rows = consequences(rules, every, own, every)
         if rows is None:
             return union_all(gone)
@@ -128,7 +128,7 @@ def remove_counting(table: DataFrame, facts: DataFrame, rules: RuleSet) -> DataF
             return alive.select(*table.columns)
         before = written(alive, "before")
         after = written(before.join(delta, SPO, "left_anti"), "after")
-        own = Source(delta, rules, small=delta.limit(SMALL_DELTA + 1).count() <= SMALL_DELTA)
+        own = Source(delta, rules, small=delta.count() <= SMALL_DELTA)
         rows = consequences(rules, Source(after.select(*SPO), rules), own, Source(before.select(*SPO), rules))
         if rows is None:
             return after.select(*table.columns)
