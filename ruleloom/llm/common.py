@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 #: Entries that a per-worker memo may hold before it is emptied.
-MEMO_ENTRIES = 600_000
+MEMO_ENTRIES = 400_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -35,6 +35,8 @@ CODE_LIMIT = 16
 CHECKPOINT_IDS = 256
 BLOCK_IDS = 1 << 18
 END_ID = 2
+#: Words that a worker remembers, and letter runs.
+WORDS_KEPT = 600_000
 
 BLOCK_SCHEMA = (
     "part int, block int, first_doc long, first_id long, cut boolean, doc_ids array<long>,"
@@ -170,7 +172,7 @@ def word_encoder(tokenizer_json: str):
         return head if lead.end() == len(word) else head + rests[word[lead.end() :]]
 
     latin = re.compile(r"[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+(?=[!-@\[-`{-~]|\Z)")
-    letters, words = Memo(letters_ids), Memo(word_ids)
+    letters, words = Memo(letters_ids, WORDS_KEPT), Memo(word_ids, WORDS_KEPT)
     rests = Memo(lambda w: np.array(tok.encode(w, add_special_tokens=False).ids, "<u4").tobytes(), 100_000)
     # str.split() also cuts at these four, which the tokenizer keeps as symbols
     odd = re.compile("[\x1c-\x1f]")
