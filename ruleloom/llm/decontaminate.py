@@ -3,8 +3,9 @@
 Texts become sequences of tokens in which numbers, names (capitalised words inside a sentence) and
 units (unit words after a number) are typed placeholders; other words are lower-cased. Windows of
 WINDOW tokens are hash-joined with those of the benchmark, whose side is broadcast in blocks of
-bounded size. Matching windows on one diagonal form a run, and its slots must be consistent: equal
-fillers on the benchmark's side have equal fillers in the document. An item leaked into a document
+bounded size. Windows are looked for by their exact tokens as well, so a copy of an item is found
+however few of its words are literal; an item of one word or number matches wherever that stands. Matching windows on one diagonal form a run, and
+its slots must be consistent: equal fillers on the benchmark's side have equal fillers in the document. An item leaked into a document
 if accepted runs cover at least SHARE of its tokens, so a question asked again with other numbers,
 names or units is caught, and a phrase in common is not.
 """
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import Memo, mix64, slices, texts
 
 WINDOW = 8
-#: Literal tokens that a window needs, lest placeholders alone match.
+#: Literal tokens that a window needs to match by its template, lest placeholders alone match.
 LITERALS = 4
 SHARE = 0.6
 #: Of a run's slots, the share that must be consistent.
@@ -38,6 +39,8 @@ UNITS = frozenset(
     " dollar dollars cent cents euro euros pence usd eur gbp yen byte bytes kb mb gb tb bit bits".split()
 )
 NUMBER, NAME, UNIT = (np.uint64(x) for x in (0xA5A5A5A5A5A5A5A1, 0xA5A5A5A5A5A5A5A2, 0xA5A5A5A5A5A5A5A3))
+#: Sets exact windows apart from templates.
+EXACT = np.uint64(0x5851F42D4C957F2D)
 WORD_KIND, NAME_KIND, NUMBER_KIND, UNIT_KIND, END_KIND = range(5)
 MASK = (1 << 60) - 1
 
@@ -85,18 +88,26 @@ def is_slot(template: np.ndarray) -> np.ndarray:
     return (template == NUMBER) | (template == NAME) | (template == UNIT)
 
 
-def windows(template: np.ndarray, size: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each window, and whether it has literals enough; a shorter text is one window."""
-    n = len(template)
-    size = min(size, n)
-    if not n:
-        return template, np.zeros(0, bool)
-    h = np.full(n - size + 1, size, np.uint64)
-    for k in range(size):
-        h = h * np.uint64(0x9E3779B97F4A7C15) + template[k : n - size + 1 + k]
-    h = mix64(h)
+def hashes(rows: np.ndarray, size: int) -> np.ndarray:
+    """Hash of each window of ``size`` tokens, along the last axis."""
+    n = rows.shape[-1] - size + 1
+    factor, power, width, done, h = 0x9E3779B97F4A7C15, rows, 1, 0, None
+    # windows of 1, 2, 4, ... tokens, joined for the bits of size
+    while True:
+        if size & width:
+            piece = power[..., done : done + n]
+            h = piece if h is None else h * np.uint64(factor) + piece
+            done += width
+        if 2 * width > size:
+            return mix64(h + np.uint64(size))
+        power = power[..., :-width] * np.uint64(factor) + power[..., width:]
+        factor, width = factor * factor % (1 << 64), 2 * width
+
+
+def enough(template: np.ndarray, size: int) -> np.ndarray:
+    """Whether each window has literals enough."""
     literal = np.concatenate([[0], np.cumsum(~is_slot(template))])
-    return h, literal[size:] - literal[: n - size + 1] >= min(LITERALS, size)
+    return literal[size:] - literal[: len(template) - size + 1] >= min(LITERALS, size)
 
 
 class Bench:
@@ -112,49 +123,60 @@ class Bench:
         self.items = [sorted(v) for v in same.values()]
         self.template = [np.frombuffer(t, np.uint64) for t, _ in same]
         self.filler = [np.frombuffer(f, np.uint64) for _, f in same]
-        hashes, owner, place = [], [], []
-        for k, template in enumerate(self.template):
-            h, enough = windows(template)
-            at = np.flatnonzero(enough)
-            hashes.append(h[at])
-            owner.append(np.full(len(at), k))
-            place.append(at)
-        h = np.concatenate(hashes) if hashes else np.empty(0, np.uint64)
+        found, owner, place = [], [], []
+        for k, (template, filler) in enumerate(zip(self.template, self.filler, strict=True)):
+            # a text shorter than a window is one window
+            size = min(WINDOW, len(template))
+            by_template, exact = hashes(np.stack([template, filler]), size)
+            # a window without slots is found by its exact tokens alone
+            slots = enough(template, size) & (by_template != exact)
+            for h, at in ((by_template, np.flatnonzero(slots)), (exact ^ EXACT, np.arange(len(exact)))):
+                found.append(h[at])
+                owner.append(np.full(len(at), k))
+                place.append(at)
+        h = np.concatenate(found) if found else np.empty(0, np.uint64)
         order = np.argsort(h, kind="stable")
         self.hash = h[order]
-        self.owner = np.concatenate(owner)[order] if hashes else np.empty(0, np.int64)
-        self.place = np.concatenate(place)[order] if hashes else np.empty(0, np.int64)
+        self.owner = np.concatenate(owner)[order] if found else np.empty(0, np.int64)
+        self.place = np.concatenate(place)[order] if found else np.empty(0, np.int64)
         self.sizes = sorted({len(t) for t in self.template if len(t) < WINDOW})
         bits = max(16, min(26, int(np.ceil(np.log2(max(1, len(self.hash)) * 64)))))
         self.shift = np.uint64(64 - bits)
         self.maybe = np.zeros(1 << bits, bool)
         self.maybe[(self.hash >> self.shift).astype(np.int64)] = True
 
-    def matches(self, template: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(place in the document, entry, place in the entry, window size) of every window in common."""
+    def matches(self, template: np.ndarray, filler: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(place in the document, entry, place in the entry, window size) of every window in common, by entry and diagonal."""
         out = []
+        rows = np.stack([template, filler])
         for size in [*self.sizes, WINDOW]:
-            if len(template) < size:
+            if rows.shape[1] < size:
                 continue
-            h, _ = windows(template, size)
-            at = np.flatnonzero(self.maybe[(h >> self.shift).astype(np.int64)])
-            low = np.searchsorted(self.hash, h[at], "left")
-            many = np.searchsorted(self.hash, h[at], "right") - low
+            h = hashes(rows, size)
+            h[1] ^= EXACT
+            way, at = np.nonzero(self.maybe[(h >> self.shift).astype(np.int64)])
+            h = h[way, at]
+            low = np.searchsorted(self.hash, h, "left")
+            many = np.searchsorted(self.hash, h, "right") - low
             at, low, many = at[many > 0], low[many > 0], many[many > 0]
             if len(at):
-                rows = np.repeat(low, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-                out.append((np.repeat(at, many), self.owner[rows], self.place[rows], np.full(len(rows), size)))
+                hits = np.repeat(low, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+                out.append((np.repeat(at, many), self.owner[hits], self.place[hits], np.full(len(hits), size)))
         if not out:
             return (np.empty(0, np.int64),) * 4
-        return tuple(np.concatenate([o[k] for o in out]) for k in range(4))
+        at, owner, place, size = (np.concatenate([o[k] for o in out]) for k in range(4))
+        order = np.lexsort((place, at - place, owner))
+        at, owner, place, size = at[order], owner[order], place[order], size[order]
+        # a window that matches in several ways counts once
+        new = np.ones(len(at), bool)
+        new[1:] = (owner[1:] != owner[:-1]) | (at[1:] != at[:-1]) | (place[1:] != place[:-1])
+        return at[new], owner[new], place[new], size[new]
 
     def leaks(self, template: np.ndarray, filler: np.ndarray, share: float) -> list[tuple[int, int, float, int, int]]:
         """(item, windows, covered share, slots, changed slots) of the items found in a document."""
-        at, owner, place, size = self.matches(template)
+        at, owner, place, size = self.matches(template, filler)
         if not len(at):
             return []
-        order = np.lexsort((place, at - place, owner))
-        at, owner, place, size = at[order], owner[order], place[order], size[order]
         diagonal = at - place
         cut = np.flatnonzero(
             (owner[1:] != owner[:-1]) | (diagonal[1:] != diagonal[:-1]) | (place[1:] > place[:-1] + size[:-1])

@@ -145,6 +145,19 @@ def test_decontamination(spark):
     assert mixed and decontaminate.leaks(spark, empty(spark), items).count() == 0
 
 
+def test_decontamination_of_items_with_few_literals():
+    items = [
+        "What is 48 plus 76?", "12 + 7 = 19, 3 + 4 = 7, 20 + 5 = 25, 6 + 6 = 12", "1 2 3 4 5 6 7 8 9 10 11 12",
+        "Which City Hosted The Summer Olympics In 1996? Atlanta", "Paris", "7 8",
+    ]
+    bench, canonical = decontaminate.Bench(list(enumerate(items))), decontaminate.Canonical()
+    for k, item in enumerate(items):
+        for text in (item, f"we asked: {item} and so on", f"First. {item}\nNext"):
+            found = {x[0]: x for x in bench.leaks(*canonical(text), decontaminate.SHARE)}
+            assert k in found and found[k][4] == 0, text
+    assert not bench.leaks(*canonical("What is 48 minus 75? 12 + 8 = 20, 3 + 5 = 8, 20 + 6 = 26. Which Town Has The Winter Games In 1998? Turin"), decontaminate.SHARE)
+
+
 def near_copies(seed: int, n: int) -> list[str]:
     r = random.Random(seed)
     base = [f"w{r.randint(0, 5000)}" for _ in range(120)]
