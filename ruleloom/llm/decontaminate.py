@@ -1,7 +1,8 @@
 """Benchmark decontamination by templates.
 
 Texts become sequences of tokens in which numbers, names (capitalised words inside a sentence) and
-units (unit words after a number) are typed placeholders; other words are lower-cased. Windows of
+units (unit words after a number) are typed placeholders; other words are lower-cased. A capitalised
+word that opens a sentence may be a name or not, so it is taken both ways. Windows of
 WINDOW tokens are hash-joined with those of the benchmark, whose side is broadcast in blocks of
 bounded size. Windows are looked for by their exact tokens as well, so a copy of an item is found
 however few of its words are literal; an item of one word or number matches wherever that stands. Matching windows on one diagonal form a run, and
@@ -46,7 +47,10 @@ MASK = (1 << 60) - 1
 
 
 class Canonical:
-    """Texts as (template, filler) arrays: placeholders and words, and what stood there."""
+    """Texts as (template, filler) arrays: placeholders and words, and what stood there.
+
+    The template has two rows: capitalised words that open sentences as words, and as names.
+    """
 
     def __init__(self):
         import xxhash
@@ -77,10 +81,11 @@ class Canonical:
         starts, kind, filler = starts[word], kind[word], codes[word] >> np.uint64(3)
         after_number = np.zeros(len(kind), bool)
         after_number[1:] = kind[:-1] == NUMBER_KIND
-        template = filler.copy()
-        template[kind == NUMBER_KIND] = NUMBER
-        template[(kind == NAME_KIND) & ~starts] = NAME
-        template[(kind == UNIT_KIND) & after_number] = UNIT
+        template = np.stack([filler, filler])
+        template[:, kind == NUMBER_KIND] = NUMBER
+        template[1, kind == NAME_KIND] = NAME
+        template[0, (kind == NAME_KIND) & ~starts] = NAME
+        template[:, (kind == UNIT_KIND) & after_number] = UNIT
         return template, filler
 
 
@@ -106,8 +111,9 @@ def hashes(rows: np.ndarray, size: int) -> np.ndarray:
 
 def enough(template: np.ndarray, size: int) -> np.ndarray:
     """Whether each window has literals enough."""
-    literal = np.concatenate([[0], np.cumsum(~is_slot(template))])
-    return literal[size:] - literal[: len(template) - size + 1] >= min(LITERALS, size)
+    literal = np.zeros((len(template), template.shape[1] + 1), np.int64)
+    np.cumsum(~is_slot(template), axis=1, out=literal[:, 1:])
+    return literal[:, size:] - literal[:, :-size] >= min(LITERALS, size)
 
 
 class Bench:
@@ -118,19 +124,19 @@ class Bench:
         same: dict[tuple[bytes, bytes], list[int]] = {}
         for item, text in items:
             template, filler = canonical(text or "")
-            if len(template):
+            if len(filler):
                 same.setdefault((template.tobytes(), filler.tobytes()), []).append(item)
         self.items = [sorted(v) for v in same.values()]
-        self.template = [np.frombuffer(t, np.uint64) for t, _ in same]
+        self.template = [np.frombuffer(t, np.uint64).reshape(2, -1) for t, _ in same]
         self.filler = [np.frombuffer(f, np.uint64) for _, f in same]
         found, owner, place = [], [], []
         for k, (template, filler) in enumerate(zip(self.template, self.filler, strict=True)):
             # a text shorter than a window is one window
-            size = min(WINDOW, len(template))
-            by_template, exact = hashes(np.stack([template, filler]), size)
+            size = min(WINDOW, len(filler))
+            words, names, exact = hashes(np.vstack([template, filler]), size)
             # a window without slots is found by its exact tokens alone
-            slots = enough(template, size) & (by_template != exact)
-            for h, at in ((by_template, np.flatnonzero(slots)), (exact ^ EXACT, np.arange(len(exact)))):
+            slots = enough(template, size) & np.stack([words != exact, names != words])
+            for h, at in ((words, np.flatnonzero(slots[0])), (names, np.flatnonzero(slots[1])), (exact ^ EXACT, np.arange(len(exact)))):
                 found.append(h[at])
                 owner.append(np.full(len(at), k))
                 place.append(at)
@@ -139,7 +145,7 @@ class Bench:
         self.hash = h[order]
         self.owner = np.concatenate(owner)[order] if found else np.empty(0, np.int64)
         self.place = np.concatenate(place)[order] if found else np.empty(0, np.int64)
-        self.sizes = sorted({len(t) for t in self.template if len(t) < WINDOW})
+        self.sizes = sorted({len(f) for f in self.filler if len(f) < WINDOW})
         bits = max(16, min(26, int(np.ceil(np.log2(max(1, len(self.hash)) * 64)))))
         self.shift = np.uint64(64 - bits)
         self.maybe = np.zeros(1 << bits, bool)
@@ -148,13 +154,15 @@ class Bench:
     def matches(self, template: np.ndarray, filler: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(place in the document, entry, place in the entry, window size) of every window in common, by entry and diagonal."""
         out = []
-        rows = np.stack([template, filler])
+        rows = np.vstack([template, filler])
         for size in [*self.sizes, WINDOW]:
             if rows.shape[1] < size:
                 continue
             h = hashes(rows, size)
-            h[1] ^= EXACT
-            way, at = np.nonzero(self.maybe[(h >> self.shift).astype(np.int64)])
+            h[2] ^= EXACT
+            maybe = self.maybe[(h >> self.shift).astype(np.int64)]
+            maybe[1] &= h[1] != h[0]
+            way, at = np.nonzero(maybe)
             h = h[way, at]
             low = np.searchsorted(self.hash, h, "left")
             many = np.searchsorted(self.hash, h, "right") - low
@@ -184,10 +192,13 @@ class Bench:
         found: dict[int, list] = {}
         for a, b in zip([0, *cut], [*cut, len(at)], strict=True):
             entry = int(owner[a])
-            covered = np.zeros(len(self.template[entry]), bool)
+            covered = np.zeros(len(self.filler[entry]), bool)
             for p, s in zip(place[a:b], size[a:b], strict=True):
                 covered[p : p + s] = True
-            slots = np.flatnonzero(covered & is_slot(self.template[entry]))
+            words, names = is_slot(self.template[entry])
+            slots = np.flatnonzero(covered & names)
+            # a sentence's first word is a slot if it changed
+            slots = slots[words[slots] | (self.filler[entry][slots] != filler[slots + diagonal[a]])]
             ours, theirs = self.filler[entry][slots], filler[slots + diagonal[a]]
             agrees = consistency(ours, theirs)
             if len(slots) and agrees < CONSISTENT * len(slots):

@@ -158,6 +158,18 @@ def test_decontamination_of_items_with_few_literals():
     assert not bench.leaks(*canonical("What is 48 minus 75? 12 + 8 = 20, 3 + 5 = 8, 20 + 6 = 26. Which Town Has The Winter Games In 1998? Turin"), decontaminate.SHARE)
 
 
+def test_decontamination_of_names_that_open_sentences():
+    item = "Tom has 12 red marbles. Tom buys 5 more marbles. Tom loses 3 marbles at school. Anna gives Tom 4 marbles. How many marbles does Tom have now?"
+    again = "Peter has 7 red marbles. Peter buys 9 more marbles. Peter loses 2 marbles at school. Lucy gives Peter 6 marbles. How many marbles does Peter have now?"
+    bench, canonical = decontaminate.Bench([(1, item)]), decontaminate.Canonical()
+    for text in (again, f"Question: {again}", f"so {again} Ok", item, item.lower()):
+        (found,) = bench.leaks(*canonical(text), decontaminate.SHARE)
+        assert found[2] > 0.99, text
+    assert not bench.leaks(*canonical("Peter has 7 blue cars. Lucy buys 9 more of them. Anna loses 2 cars at home. Who has the most cars now?"), decontaminate.SHARE)
+    mixed = again.replace("Peter", "Max", 1).replace("Peter", "Kim", 1).replace("Peter", "Jo", 1)
+    assert not bench.leaks(*canonical(mixed), decontaminate.SHARE)
+
+
 def near_copies(seed: int, n: int) -> list[str]:
     r = random.Random(seed)
     base = [f"w{r.randint(0, 5000)}" for _ in range(120)]
