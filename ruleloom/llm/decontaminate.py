@@ -8,7 +8,8 @@ bounded size. Windows are looked for by their exact tokens as well, so a copy of
 however few of its words are literal; an item of one word or number matches wherever that stands. Matching windows on one diagonal form a run, and
 its slots must be consistent: equal fillers on the benchmark's side have equal fillers in the document. An item leaked into a document
 if accepted runs cover at least SHARE of its tokens, so a question asked again with other numbers,
-names or units is caught, and a phrase in common is not.
+names or units is caught, and a phrase in common is not. An excerpt of a long item is caught by a
+run of at least RUN tokens, half of them words or unchanged names.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ WINDOW = 8
 #: Literal tokens that a window needs to match by its template, lest placeholders alone match.
 LITERALS = 4
 SHARE = 0.6
+#: Tokens of a run that is a leak whatever its share of the item.
+RUN = 32
 #: Of a run's slots, the share that must be consistent.
 CONSISTENT = 0.8
 #: Characters of benchmark text in one broadcast block.
@@ -180,7 +183,7 @@ class Bench:
         new[1:] = (owner[1:] != owner[:-1]) | (at[1:] != at[:-1]) | (place[1:] != place[:-1])
         return at[new], owner[new], place[new], size[new]
 
-    def leaks(self, template: np.ndarray, filler: np.ndarray, share: float) -> list[tuple[int, int, float, int, int]]:
+    def leaks(self, template: np.ndarray, filler: np.ndarray, share: float, run: int = RUN) -> list[tuple[int, int, float, int, int]]:
         """(item, windows, covered share, slots, changed slots) of the items found in a document."""
         at, owner, place, size = self.matches(template, filler)
         if not len(at):
@@ -203,15 +206,19 @@ class Bench:
             agrees = consistency(ours, theirs)
             if len(slots) and agrees < CONSISTENT * len(slots):
                 continue
-            got = found.setdefault(entry, [0, np.zeros(len(covered), bool), 0, 0])
+            got = found.setdefault(entry, [0, np.zeros(len(covered), bool), 0, 0, False])
             got[0] += b - a
             got[1] |= covered
             got[2] += len(slots)
             got[3] += int((ours != theirs).sum())
+            same = self.filler[entry][covered] == filler[np.flatnonzero(covered) + diagonal[a]]
+            kinds = self.template[entry][0, covered]
+            told = same & (kinds != NUMBER) & (kinds != UNIT)
+            got[4] |= len(same) >= run and 2 * int(told.sum()) >= len(same)
         return [
             (item, int(n), float(covered.mean()), slots, changed)
-            for entry, (n, covered, slots, changed) in found.items()
-            if covered.mean() >= share
+            for entry, (n, covered, slots, changed, long) in found.items()
+            if long or covered.mean() >= share
             for item in self.items[entry]
         ]
 

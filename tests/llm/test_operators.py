@@ -170,6 +170,19 @@ def test_decontamination_of_names_that_open_sentences():
     assert not bench.leaks(*canonical(mixed), decontaminate.SHARE)
 
 
+def test_decontamination_of_excerpts():
+    r = random.Random(8)
+    words = ["".join(r.choice("abcdefghijkl") for _ in range(r.randint(3, 8))) for _ in range(300)]
+    passage = [r.choice(words) for _ in range(160)]
+    question = "what did the writer of this passage most likely want the reader to learn about the old harbour and about the people who had worked there for so many years before it closed".split()
+    bench, canonical = decontaminate.Bench([(1, " ".join(passage + question)), (2, " ".join(map(str, range(200))))]), decontaminate.Canonical()
+    for part in (passage[:100], question, passage[60:60 + decontaminate.RUN]):
+        (found,) = bench.leaks(*canonical("we read: " + " ".join(part) + " and more of it"), decontaminate.SHARE)
+        assert found[0] == 1 and found[2] < 0.6
+    for part in (passage[:decontaminate.RUN - 1], map(str, range(60))):
+        assert not bench.leaks(*canonical("we read: " + " ".join(part) + " and more of it"), decontaminate.SHARE)
+
+
 def near_copies(seed: int, n: int) -> list[str]:
     r = random.Random(seed)
     base = [f"w{r.randint(0, 5000)}" for _ in range(120)]
