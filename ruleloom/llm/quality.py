@@ -3,7 +3,7 @@
 Texts become statistics by SQL functions alone. For each group of documents of one language and
 source, the minimum covariance determinant estimate of location and scatter is found by
 concentration steps: distances, the closest SUBSET share of the group, their mean and covariance,
-and again. A document is rejected if its Mahalanobis distance from that estimate, made consistent
+and again until the estimates settle. With a subset of one half, junk may be almost half of a group. A document is rejected if its Mahalanobis distance from that estimate, made consistent
 for the normal distribution, is beyond CUTOFF. Groups of under LEAST documents are pooled within
 their language, and pools of under LEAST over all of it.
 
@@ -21,8 +21,10 @@ from .common import written
 #: ASCII white space in a regular expression inside an SQL literal.
 SPACE = r"\\x20\\x09-\\x0D"
 LEAST = 60
-SUBSET = 0.75
-STEPS = 3
+SUBSET = 0.5
+#: Estimates have settled when no group's log-determinant moves by more; steps end there or at MOST_STEPS.
+SETTLED = 0.01
+MOST_STEPS = 30
 #: Squared distance beyond which a document is rejected; far in the tail of chi-squared with 6
 #: degrees of freedom (1e-15), as ratios in texts have longer tails than the normal distribution.
 CUTOFF = 83.0
@@ -30,8 +32,8 @@ CUTOFF = 83.0
 #: Transformed statistics, and the least standard deviation that each is taken to have.
 FEATURES = {"f_length": 0.06, "f_symbols": 0.03, "f_upper": 0.035, "f_marks": 0.03, "f_lines": 0.07, "f_repeats": 0.07}
 NAMES = list(FEATURES)
-#: Consistency of a covariance of the closest 75 % with 6 dimensions: 0.75 / P(chi2_8 <= q), q the 0.75 quantile of chi2_6.
-CONSISTENCY = 1.3616
+#: Consistency of a covariance of the closest half with 6 dimensions: 0.5 / P(chi2_8 <= q), q the median of chi2_6.
+CONSISTENCY = 1.7844
 
 
 def statistics(docs: DataFrame, keep: list[str]) -> DataFrame:
@@ -158,7 +160,7 @@ def step(spark: SparkSession, estimates: DataFrame, rows: DataFrame) -> DataFram
     near = distance(estimates, rows)
     bins = F.floor(F.log(F.col("distance") + 1e-6) * 50).alias("bin")
     counts = written(spark, near.groupBy("g", bins).agg(F.count("*").alias("n")), "quality-distances")
-    limit = written(spark, _quantile_bin(counts, ["g"], SUBSET).withColumnRenamed("bin", "most"), "quality-limits")
+    limit = _quantile_bin(counts, ["g"], SUBSET).withColumnRenamed("bin", "most")
     inside = near.join(limit, "g").filter(F.floor(F.log(F.col("distance") + 1e-6) * 50) <= F.col("most"))
     p = len(NAMES)
     sums = [F.count("*").alias("n")] + [F.avg(c).alias(f"m{i}") for i, c in enumerate(NAMES)]
@@ -167,6 +169,27 @@ def step(spark: SparkSession, estimates: DataFrame, rows: DataFrame) -> DataFram
     return written(spark, whiten(moments), "quality-estimates")
 
 
+def settled(before: DataFrame, after: DataFrame) -> bool:
+    """Whether no group's log-determinant moved by more than SETTLED."""
+
+    def spread(estimates: DataFrame, name: str) -> DataFrame:
+        total = sum((F.log(F.col("w")[i][i]) for i in range(len(NAMES))), F.lit(0.0))
+        return estimates.select("g", (-2 * total).alias(name))
+
+    both = spread(before, "old").join(spread(after, "new"), "g")
+    return (both.agg(F.max(F.abs(F.col("new") - F.col("old")))).first()[0] or 0.0) <= SETTLED
+
+
+def settle(spark: SparkSession, rows: DataFrame) -> DataFrame:
+    """The estimates at which concentration steps from ``start`` settle."""
+    estimates = start(spark, rows)
+    for _ in range(MOST_STEPS):
+        before, estimates = estimates, step(spark, estimates, rows)
+        if settled(before, estimates):
+            break
+    return estimates
+
+
 def whiten(moments: DataFrame) -> DataFrame:
     """(g, mean, w) with w'w the inverse covariance: Cholesky factor and its inverse, a column for each entry."""
     p = len(NAMES)
@@ -223,9 +246,7 @@ def verdicts(spark: SparkSession, docs: DataFrame, cutoff: float = CUTOFF) -> Da
     good = judged.filter("not base_failed")
     sizes = good.groupBy("g").agg(F.count("*").alias("n")).filter(F.col("n") >= LEAST).select("g")
     good = good.join(written(spark, sizes, "quality-sizes"), "g")
-    estimates = start(spark, good)
-    for _ in range(STEPS):
-        estimates = step(spark, estimates, good)
+    estimates = settle(spark, good)
     return distance(estimates, judged, "left").select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         (~F.col("base_failed") & F.coalesce(F.col("distance") <= cutoff, F.lit(True))).alias("kept"),

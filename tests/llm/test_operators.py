@@ -86,6 +86,22 @@ def test_quality(spark):
     assert quality.verdicts(spark, empty(spark)).count() == 0
 
 
+def test_quality_of_sources_with_much_junk(spark):
+    r = random.Random(6)
+    words = "alpha beta gamma delta eps zeta eta theta iota kappa mu nu".split()
+
+    def text(junk):
+        own = [r.choice(words) + str(r.randint(0, 9999)) for _ in range(r.randint(30, 120))]
+        return " ".join(w + r.choice(["", "#", "%%", "|&*", "$$##"]) * r.randint(1, 3) for w in own) if junk else " ".join(own)
+
+    rows = [(text(k >= 300), "en", source) for source, n in (("third", 430), ("two fifths", 500)) for k in range(n)]
+    docs = spark.createDataFrame([(k, *row) for k, row in enumerate(rows)], "doc_id long, text string, lang string, source string")
+    got = by_id(quality.verdicts(spark, docs))
+    for first, n in ((0, 430), (430, 500)):
+        kept = [got[first + k]["kept"] for k in range(n)]
+        assert sum(kept[:300]) >= 297 and sum(kept[300:]) <= 0.05 * (n - 300)
+
+
 def test_secrets(spark):
     got = by_id(secret_scan.scan(spark, documents(spark)))
     for k, text in enumerate(ODD):
