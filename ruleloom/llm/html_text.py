@@ -1,7 +1,9 @@
 """Main text of web pages by tree scoring.
 
 The page becomes a tree of elements. Elements that never hold the article (scripts, navigation,
-forms, adverts, comments, ... by tag, role, class or id) are cut off. Each block of text passes
+forms, adverts, comments, ... by tag, role, class or id) are cut off; those named so by class or id
+are spared if they hold the main element or most of the prose, and names count for nothing if little
+text is left by them. Each block of text passes
 points for its length and commas to its ancestors, less the further up; points are scaled by
 1 - link density. The best container, widened to an article or main element around it, is kept with
 those of its siblings that score near it or read like prose. Blocks are joined in page order.
@@ -47,25 +49,35 @@ DROP_TAGS = frozenset(
     " audio video dialog menu label fieldset map".split()
 )
 DROP_ROLES = frozenset("navigation banner contentinfo complementary search menu menubar toolbar dialog alertdialog alert".split())
-UNLIKELY = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|adbox|banner\w*|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|pagination|pager|footer\w*"
+LAYOUT = (
+    r"(?:ads?|advert\w*|adsense|adbox|banner\w*|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|pagination|pager|footer\w*"
     r"|masthead|site-?header|page-?header|top-?bar|sidebar\w*|side|rail|widget\w*|related\w*|recommend\w*|share|sharing|social\w*"
     r"|comments?|comment-?list|commentlist|respond|replies|disqus\w*|discussion|newsletter|subscri\w*|signup|sign-?up|login"
     r"|cookie\w*|consent|gdpr|notice\w*|alert\w*|popup|modal|overlay|disclaimer|legal|copyright|skip\w*|hidden|toolbar|tags?|tagcloud|outbrain|taboola)"
-    r"(?=$|[\s_-])", re.I
+    r"(?=$|[\s_-])"
 )
+UNLIKELY = re.compile(r"(?:^|[\s_-])" + LAYOUT, re.I)
+#: As a whole class name or the head of one, such a word names the element; elsewhere it may only describe it.
+NAMED = re.compile(r"(?:^|\s)(?!side-by|legal-)" + LAYOUT, re.I)
+#: A text of under TINY characters gives way to one without the filter of names that is LONGER times as long.
+TINY, LONGER = 140, 5
 HEADER = re.compile(r"(?:^|[\s_-])header(?=$|[\s_-])", re.I)
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 POINTS = {"article": 25.0, "main": 20.0, "section": 5.0, "div": 5.0, "td": 3.0, "pre": 3.0, "blockquote": 3.0}
 
 
 class Node:
-    __slots__ = ("tag", "parent", "attrs", "points", "chars", "linked", "blocks", "drop")
+    __slots__ = ("tag", "parent", "attrs", "start", "points", "chars", "linked", "blocks", "drop", "name", "holds")
 
-    def __init__(self, tag: str, parent: Node | None, attrs: str):
-        self.tag, self.parent, self.attrs = tag, parent, attrs
+    def __init__(self, tag: str, parent: Node | None, attrs: str, start: int = 0):
+        self.tag, self.parent, self.attrs, self.start = tag, parent, attrs, start
         self.points, self.chars, self.linked, self.blocks = 0.0, 0, 0, 0
+        #: The class and id, if they name it as no part of the article, and which of article and main it holds.
+        self.name, self.holds = "", set()
         self.drop = bool(parent and parent.drop) or self._unwanted()
+        if not self.drop and tag in ("article", "main"):
+            for node in self.above():
+                node.holds.add(tag)
 
     def _unwanted(self) -> bool:
         if self.tag in DROP_TAGS:
@@ -78,7 +90,11 @@ class Node:
         if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", ""), re.I):
             return True
         names = " ".join([found.get("class", ""), found.get("id", "")])
-        return bool(names.strip() and UNLIKELY.search(names))
+        # an element named header outside of articles heads the page
+        heads = self.tag != "header" and HEADER.search(names) and not any(a.tag in ("article", "main") for a in self.above())
+        if names.strip() and (UNLIKELY.search(names) or heads):
+            self.name = names
+        return False
 
     def outside(self) -> bool:
         """A header that heads the page, not an article."""
@@ -94,9 +110,16 @@ class Node:
         return self.linked / self.chars if self.chars else 0.0
 
 
-def parse(page: str) -> tuple[Node, list[tuple[Node, str, int]]]:
-    """The root, and (element, text, characters in links) of every block outside dropped elements, in order."""
+Blocks = list[tuple[Node, str, int]]
+
+
+def parse(page: str, spared: set[int] | None = None) -> tuple[Blocks, list[Node]]:
+    """(element, text, characters in links) of every block outside dropped elements, in order; and the named elements.
+
+    Named elements are dropped but for those that start at ``spared``; without it, all are kept.
+    """
     root = Node("#root", None, "")
+    named: list[Node] = []
     stack, blocks = [root], []
     parts: list[str] = []
     owner, linked, links = root, 0, 0
@@ -196,25 +219,42 @@ def parse(page: str) -> tuple[Node, list[tuple[Node, str, int]]]:
             continue
         if tag == "html" and any(n.tag == "html" for n in stack) or tag == "body" and any(n.tag == "body" for n in stack):
             continue
-        node = Node(tag, stack[-1], attrs)
-        if not node.drop and (node.outside() or tag != "header" and node.attrs and tag not in ("article", "main", "body", "html") and _page_header(node)):
+        node = Node(tag, stack[-1], attrs, m.start())
+        if not node.drop and node.outside():
             node.drop = True
+        elif not node.drop and node.name:
+            named.append(node)
+            node.drop = spared is not None and node.start not in spared
         stack.append(node)
         links += tag == "a"
     flush()
-    return root, blocks
-
-
-def _page_header(node: Node) -> bool:
-    """An element named header outside of articles."""
-    found = {k.lower(): a or b or c or "" for k, a, b, c in ATTRIBUTE.findall(node.attrs)}
-    names = " ".join([found.get("class", ""), found.get("id", "")])
-    return bool(HEADER.search(names)) and not any(a.tag in ("article", "main") for a in node.above())
+    return blocks, named
 
 
 def main_text(page: str) -> str:
     """The article's text; empty if the page has none."""
-    root, blocks = parse(page)
+    blocks, named = parse(page)
+    if not named:
+        return best_text(blocks)
+    prose: dict[int, int] = {}
+    total = 0
+    for owner, text, linked in blocks:
+        total += len(text) - linked
+        for node in (owner, *owner.above()):
+            prose[id(node)] = prose.get(id(node), 0) + len(text) - linked
+    spared = {
+        node.start
+        for node in named
+        if "main" in node.holds or 2 * prose.get(id(node), 0) > total and ("article" in node.holds or not NAMED.search(node.name))
+    }
+    text = best_text(parse(page, spared)[0])
+    if len(text) < TINY and len(whole := best_text(blocks)) >= max(1, LONGER * len(text)):
+        return whole
+    return text
+
+
+def best_text(blocks: Blocks) -> str:
+    """The text of the best container and what belongs to it."""
     if not blocks:
         return ""
     candidates: dict[int, Node] = {}

@@ -347,6 +347,21 @@ def test_html(spark):
     assert len(html_text.main_text("<article>" + "<p>para, graph</p>" * 5000)) == 5000 * 12 - 1
 
 
+def test_html_layout_names():
+    prose = "".join(f"<p>Paragraph {k} of the article, which is long, and which tells, in turn, of many things that were seen.</p>" for k in range(9))
+    rest = "<div class='site-sidebar'><p>Buy now.</p></div><div id=comments><p>nice, post</p></div><div class='top-nav'>Home</div>"
+    for name in (
+        "overflow-hidden", "has-sidebar", "content-area with-sidebar", "no-sidebar", "side-by-side", "entry no-comments",
+        "post-content legal-news", "legal-news", "no-header", "hidden", "content",
+    ):
+        for inner in (prose, f"<article>{prose}</article>", f"<main>{prose}</main>"):
+            text = html_text.main_text(f"<body><div class='{name}'>{inner}{rest}</div></body>")
+            assert text.count("Paragraph") == 9, (name, inner[:9])
+            assert name == "hidden" or "Buy" not in text and "nice" not in text and "Home" not in text, name
+    comments = "<div id=comments>" + "<article><p>I think, as many do, that this post is, all in all, a fine one to read.</p></article>" * 3 + "</div>"
+    assert "I think" not in html_text.main_text(f"<article>{prose}</article>{comments}")
+
+
 def test_null_ids(spark):
     docs = spark.createDataFrame([(None, "a b"), (None, None), (7, "x")], "doc_id long, text string")
     for out in (licenses.scan(docs), pii.scan(spark, docs), quality.verdicts(spark, docs), secret_scan.scan(spark, docs), bpe.digest(docs, tokenizer_json("byte_bpe_50k.json"))):
