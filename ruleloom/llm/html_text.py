@@ -25,10 +25,17 @@ MARKUP = re.compile(
     r"<!--(?:.*?(?:-->|--!>)|.*)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"'=]|=\s*\"[^\"]*\"|=\s*'[^']*'|=|[\"'])*+)(>|\Z)|<[!?/](?:[^>]*(?:>|\Z))", re.S
 )
 ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+#: Tags that end svg and math without an end tag, unless they stand in a part for foreign markup.
+BREAKOUT = re.compile(r"<(?:article|main|section|blockquote|body|center|d[dlt]|div|h[1-6]|li|menu|ol|p|pre|table|ul)(?=[\s/>])", re.I)
+FOREIGN = re.compile(r"<(?:foreignobject|desc|annotation-xml|mtext)(?=[\s/>])", re.I)
+#: A slash at the end that belongs to an attribute's value.
+UNQUOTED = re.compile(r"=\s*[^\s\"'>]+/\Z")
 SPACES = re.compile("[ \t\n\r\f\v\x85\xa0  -     　]+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template plaintext svg math".split())
+#: Of these, elements with markup inside: they may close themselves, or go without an end tag.
+OPEN = frozenset("noscript template svg math".split())
 BLOCK = frozenset(
     "html head body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form"
     " frameset h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol optgroup option p pre section summary table tbody td tfoot th"
@@ -166,6 +173,7 @@ def parse(page: str, spared: set[int] | None = None) -> tuple[Blocks, list[Node]
                 return
 
     at = 0
+    endless: set[str] = set()
     while True:
         m = MARKUP.search(page, at)
         if not m:
@@ -211,9 +219,19 @@ def parse(page: str, spared: set[int] | None = None) -> tuple[Blocks, list[Node]
             close({"a"}, BLOCK)
         if tag in VOID:
             continue
+        if tag in ("svg", "math") and attrs.endswith("/") and not UNQUOTED.search(attrs):
+            continue
         if tag in RAW:
-            stop = re.compile(rf"</{tag}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(page, at)
-            at = stop.end() if stop else len(page)
+            stop = None if tag in endless else re.compile(rf"</{tag}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(page, at)
+            out = BREAKOUT.search(page, at, stop.start() if stop else len(page)) if tag in ("svg", "math") else None
+            if out and not FOREIGN.search(page, at, out.start()):
+                at = out.start()
+            elif stop:
+                at = stop.end()
+            elif tag in OPEN:
+                endless.add(tag)
+            else:
+                at = len(page)
             continue
         if attrs.endswith("/") and tag not in BLOCK and tag != "a":
             continue

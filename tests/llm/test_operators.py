@@ -362,6 +362,13 @@ def test_html_layout_names():
     assert "I think" not in html_text.main_text(f"<article>{prose}</article>{comments}")
 
 
+def test_html_tags_without_ends():
+    for icon in ("<svg class='icon'/>", "<svg/>", "<math />", "<svg class=icon>", "<template>", "<noscript>", "<svg class=a/><title>t</title></svg>", "<svg><path d='M0'/></svg>"):
+        page = f"<body>{icon}<article><p>The first, of two.</p><svg class='icon'/><p>The second.</p><svg><text>no</text></svg><p>Third.</p></article></body>"
+        assert html_text.main_text(page) == "The first, of two.\nThe second.\nThird.", icon
+    assert html_text.main_text("<article><p>a</p><script>var b = '<p>c</p>';") == "a"
+
+
 def test_null_ids(spark):
     docs = spark.createDataFrame([(None, "a b"), (None, None), (7, "x")], "doc_id long, text string")
     for out in (licenses.scan(docs), pii.scan(spark, docs), quality.verdicts(spark, docs), secret_scan.scan(spark, docs), bpe.digest(docs, tokenizer_json("byte_bpe_50k.json"))):
