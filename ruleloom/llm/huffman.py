@@ -20,23 +20,29 @@ one table of 2**limit entries decodes an id per step.
 
 from __future__ import annotations
 
+import array
+import functools
 import json
+import os
+import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Memo, scratch, slices, texts, written
+from .common import scratch, slices, texts, written
 
 CODE_LIMIT = 16
 CHECKPOINT_IDS = 256
 BLOCK_IDS = 1 << 18
 END_ID = 2
-#: Words that a worker remembers, and letter runs.
-WORDS_KEPT = 600_000
+#: Pieces of text that a worker remembers in each of two generations, and the longest of them.
+PIECES_KEPT, LONGEST_KEPT = 400_000, 64
+#: Bytes of a document's ids that deal rows of one doc_id to several tasks.
+PREFIX_BYTES = 16
 
 BLOCK_SCHEMA = (
     "part int, block int, first_doc long, first_id long, cut boolean, doc_ids array<long>,"
@@ -103,15 +109,18 @@ class Codebook:
         lengths = self.length[ids]
         ends = np.cumsum(lengths)
         offsets = ends - lengths
-        total = int(ends[-1]) if len(ids) else 0
-        size = (total + 7) // 8
-        at = offsets >> 3
-        window = self.code[ids].astype(np.int64) << (24 + 8 - (offsets & 7) - lengths)
-        out = np.zeros(size + 4, np.int64)
-        for k in range(4):
-            byte = (window >> (24 - 8 * k)) & 255
-            out += np.bincount(at + k, weights=byte, minlength=size + 4).astype(np.int64)
-        return out[:size].astype(np.uint8).tobytes(), offsets[::every]
+        if not len(ids):
+            return b"", offsets
+        size = (int(ends[-1]) + 7) // 8
+        # a code lies in at most two words of 32 bits; those that start in one word are neighbours
+        word = offsets >> 5
+        window = self.code[ids].astype(np.uint64) << (64 - (offsets & 31) - lengths).astype(np.uint64)
+        first = np.concatenate([[0], np.flatnonzero(word[1:] != word[:-1]) + 1])
+        sums, at = np.add.reduceat(window, first), word[first]
+        out = np.zeros(int(at[-1]) + 2, np.uint64)
+        out[at] = sums >> np.uint64(32)
+        out[at + 1] += sums & np.uint64(0xFFFFFFFF)
+        return out.astype(">u4").tobytes()[:size], offsets[::every]
 
     def unpack(self, payload: bytes, n_ids: int, checkpoints: np.ndarray, every: int = CHECKPOINT_IDS) -> np.ndarray:
         """The ids of a block: one lane for each checkpoint, all lanes step together."""
@@ -134,17 +143,49 @@ class Codebook:
 # ---- tokenizing -----------------------------------------------------------------------------
 
 
-def word_encoder(tokenizer_json: str):
-    """Text -> little-endian uint32 bytes of the tokenizer's ids.
+class PieceMemo(dict):
+    """Remembers what ``make`` gives for short pieces, in two generations of at most ``most`` entries each.
 
-    White space never reaches a token of this kind of tokenizer (its splitter drops it, and its
-    normalizer has no rule that spans it), so words are encoded alone and remembered. A word that
-    starts with Latin letters, followed by ASCII punctuation or nothing, is cut after them, as the
-    splitter does: the letters go straight to the library's BPE model, the rest through all of it.
+    Pieces of over LONGEST_KEPT characters are made anew each time, so the bound on entries bounds the memory.
     """
-    import os
-    import re
 
+    def __init__(self, make: Callable, most: int = PIECES_KEPT):
+        super().__init__()
+        self.make, self.most, self.old = make, most, {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(key) <= LONGEST_KEPT:
+            if len(self) >= self.most:
+                self.old = dict(self)
+                self.clear()
+            self[key] = value
+        return value
+
+
+#: Lower-cases Latin-1 and makes its two spaces beyond ASCII plain ones.
+LATIN_LOWER = bytes(
+    32 if b in (0x85, 0xA0) else b + 32 if 65 <= b <= 90 or 0xC0 <= b <= 0xDE and b != 0xD7 else b for b in range(256)
+)
+#: What the splitter tells apart among these characters.
+_LETTER = rb"a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff"
+_DIGIT = rb"0-9\xb2\xb3\xb9\xbc-\xbe"
+LATIN_PIECE = re.compile(
+    rb"'s|'t|'re|'ve|'m|'ll|'d|[" + _LETTER + rb"]+|[" + _DIGIT + rb"]|[^\t-\r " + _LETTER + _DIGIT + rb"]+"
+)
+
+
+@functools.lru_cache(maxsize=2)
+def word_encoder(tokenizer_json: str, width: str):
+    """Text -> the tokenizer's ids as packed integers; kept by a worker process for its next tasks.
+
+    White space never reaches a token of this kind of tokenizer (its splitter drops it, and its
+    normalizer has no rule that spans it), so words are encoded alone and remembered. In Latin-1 texts,
+    which the normalizer only lower-cases, a new word is cut as the splitter does and its pieces go
+    straight to the library's BPE model; words of other texts go through the whole library.
+    """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
     from tokenizers.models import BPE
@@ -154,77 +195,103 @@ def word_encoder(tokenizer_json: str):
     tok = Tokenizer.from_str(tokenizer_json)
     tok.no_truncation()
     tok.no_padding()
-    spec = json.loads(tokenizer_json)["model"]
+    spec = json.loads(tokenizer_json)
+    added = [x["content"] for x in spec["added_tokens"]]
+    spec = spec["model"]
     merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in spec["merges"]]
-    # the words that come here are new, so the model's own memo would only cost time
+    # the pieces that come here are new, so the model's own memo would only cost time
     model = BPE(vocab=spec["vocab"], merges=merges, end_of_word_suffix=spec["end_of_word_suffix"], cache_capacity=0)
     letter = byte_letters()
+    kind = {"<u2": "H", "<u4": "I"}[width]
 
-    def letters_ids(run: str) -> bytes:
-        mapped = run if run.isascii() else "".join([letter[b] for b in run.encode()])
-        return np.array([x.id for x in model.tokenize(mapped)], "<u4").tobytes()
+    def latin_ids(word: bytes) -> bytes:
+        cut = LATIN_PIECE.findall(word)
+        if len(cut) > 1:
+            return b"".join(map(latin.__getitem__, cut))
+        piece = cut[0]
+        mapped = piece.decode() if PRINTABLE.fullmatch(piece) else "".join([letter[b] for b in piece.decode("latin-1").encode()])
+        return array.array(kind, [x.id for x in model.tokenize(mapped)]).tobytes()
 
     def word_ids(word: str) -> bytes:
-        lead = latin.match(word)
-        if not lead:
-            return rests[word]
-        head = letters[lead.group().lower()]
-        return head if lead.end() == len(word) else head + rests[word[lead.end() :]]
-
-    latin = re.compile(r"[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+(?=[!-@\[-`{-~]|\Z)")
-    letters, words = Memo(letters_ids, WORDS_KEPT), Memo(word_ids, WORDS_KEPT)
-    rests = Memo(lambda w: np.array(tok.encode(w, add_special_tokens=False).ids, "<u4").tobytes(), 100_000)
-    # str.split() also cuts at these four, which the tokenizer keeps as symbols
-    odd = re.compile("[\x1c-\x1f]")
+        return array.array(kind, tok.encode(word, add_special_tokens=False).ids).tobytes()
+
+    latin, words = PieceMemo(latin_ids), PieceMemo(word_ids, PIECES_KEPT // 4)
+    # str.split() also cuts at four controls which the tokenizer keeps as symbols
     plain = re.compile(f"[^{SPACE}]+")
 
     def encode(text: str) -> bytes:
-        cut = plain.findall(text) if odd.search(text) else text.split()
-        return b"".join(map(words.__getitem__, cut))
+        try:
+            raw = text.encode("latin-1")
+        except UnicodeEncodeError:
+            return b"".join(map(words.__getitem__, plain.findall(text)))
+        if any(x in text for x in added):
+            return b"".join(map(words.__getitem__, plain.findall(text)))
+        return b"".join(map(latin.__getitem__, raw.translate(LATIN_LOWER).split()))
 
     return encode
 
 
+PRINTABLE = re.compile(rb"[!-~]+")
+
+
 def tokenized(docs: DataFrame, tokenizer_json: str, end_id: int = END_ID) -> DataFrame:
-    """(doc_id, ids, n): the ids of each document as packed integers of 2 bytes if the vocabulary allows, else 4."""
-    wide = tokenizer_width(tokenizer_json, end_id)
+    """(doc_id, ids, seen): the ids of each document as packed integers of 2 bytes if the vocabulary allows, else 4.
+
+    A task's last row holds no document but, in ``seen``, what it counted: ids and their numbers, packed.
+    """
+    width = tokenizer_width(tokenizer_json, end_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = word_encoder(tokenizer_json), np.array([end_id], "<u4").tobytes()
+        encode, end = word_encoder(tokenizer_json, width), np.array([end_id], width).tobytes()
+        total = np.zeros(0, np.int64)
         for batch in slices(batches):
-            ids = [np.frombuffer(encode(t) + end, "<u4").astype(wide) for t in texts(batch.column("text"))]
+            ids = [encode(t) + end for t in texts(batch.column("text"))]
+            total = added_up(total, np.bincount(np.frombuffer(b"".join(ids), width)))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array(ids, pa.binary()), pa.nulls(len(ids), pa.binary())], ["doc_id", "ids", "seen"]
+            )
+        some = np.flatnonzero(total)
+        if len(some):
+            seen = some.astype("<i8").tobytes() + total[some].astype("<i8").tobytes()
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([x.tobytes() for x in ids], pa.binary())], ["doc_id", "ids"]
+                [pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([seen], pa.binary())], ["doc_id", "ids", "seen"]
             )
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
-        run, "doc_id long, ids binary"
+        run, "doc_id long, ids binary, seen binary"
     )
 
 
+def added_up(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The sum of two arrays of counts, the shorter one filled up with zeros."""
+    a, b = (a, b) if len(a) >= len(b) else (b, a)
+    out = a.astype(np.int64)
+    out[: len(b)] += b
+    return out
+
+
 def tokenizer_width(tokenizer_json: str, end_id: int = END_ID) -> str:
     from tokenizers import Tokenizer
 
     return "<u2" if max(Tokenizer.from_str(tokenizer_json).get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4"
 
 
-def id_counts(tokens: DataFrame, width: str) -> DataFrame:
-    """(id, n) over the whole corpus; each task sends one row for each id that it saw."""
+def id_counts(tokens: DataFrame) -> DataFrame:
+    """(id, n) over the whole corpus, from the counts that the tokenizing tasks left."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for raw in batch.column("ids").to_pylist():
-                got = np.bincount(np.frombuffer(raw, width))
-                if len(got) > len(total):
-                    got[: len(total)] += total
-                    total = got
-                else:
-                    total[: len(got)] += got
+            for raw in batch.column("seen").to_pylist():
+                ids, n = np.frombuffer(raw, "<i8").reshape(2, -1)
+                own = np.zeros(int(ids[-1]) + 1, np.int64)
+                own[ids] = n
+                total = added_up(total, own)
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], ["id", "n"])
 
-    return tokens.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    counted = tokens.filter("seen is not null").select("seen").mapInArrow(run, "id long, n long")
+    return counted.groupBy("id").agg(F.sum("n").alias("n"))
 
 
 # ---- writing and reading --------------------------------------------------------------------
@@ -234,12 +301,14 @@ def write_blocks(spark: SparkSession, docs: DataFrame, tokenizer_json: str, path
     """Encodes docs (doc_id, text) and writes ``path``/codebook and ``path``/blocks.
 
     Empty or null texts hold the end id alone. Rows with the same doc_id stay neighbours, in the
-    order of their ids' bytes; a null doc_id comes first. An empty table gives empty datasets.
+    order of the first PREFIX_BYTES of their ids, then of a hash of all; a null doc_id comes first. They
+    are dealt to tasks by these too, so however many rows one doc_id has, no task gets all of them.
+    An empty table gives empty datasets.
     """
     width = tokenizer_width(tokenizer_json)
-    tokens = written(spark, tokenized(docs, tokenizer_json), "tokens")
+    tokens = written(spark, tokenized(docs, tokenizer_json).withColumn("row", F.monotonically_increasing_id()), "tokens")
     # as many rows as the vocabulary has entries at most
-    counted = id_counts(tokens, width).toPandas().sort_values("id")
+    counted = id_counts(tokens).toPandas().sort_values("id")
     ids, n = counted["id"].to_numpy(np.int64), counted["n"].to_numpy(np.int64)
     lengths = code_lengths(n, max(limit, int(np.ceil(np.log2(max(len(ids), 2))))))
     spark.createDataFrame(
@@ -285,7 +354,14 @@ def write_blocks(spark: SparkSession, docs: DataFrame, tokenizer_json: str, path
             yield block_of(held, False)
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = tokens.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "ids")
+    place = ["doc_id", "prefix", "hash", "row"]
+    ordered = (
+        tokens.filter("seen is null")
+        .select("doc_id", "ids", F.substring("ids", 1, PREFIX_BYTES).alias("prefix"), F.xxhash64("ids").alias("hash"), "row")
+        .repartitionByRange(parts, *place)
+        .sortWithinPartitions(*place)
+        .select("doc_id", "ids")
+    )
     ordered.mapInArrow(run, BLOCK_SCHEMA).write.parquet(f"{path}/blocks")
 
 

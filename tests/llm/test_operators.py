@@ -319,14 +319,16 @@ def test_bpe(spark):
 def test_bpe_random_texts():
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     word = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    own, words = bpe.ByteBPE(tokenizer_json("byte_bpe_50k.json")), huffman.word_encoder(tokenizer_json("word_bpe_49k.json"))
+    own, words = bpe.ByteBPE(tokenizer_json("byte_bpe_50k.json")), huffman.word_encoder(tokenizer_json("word_bpe_49k.json"), "<u2")
     r = random.Random(9)
     pool = "aeiou bcdst ÉéßΣσς.,!'\"012 \n\t 　İı🙂日́ᄀ|<>"
     texts = ["".join(r.choice(pool) for _ in range(r.randint(0, 80))) for _ in range(400)]
+    latin = "".join(map(chr, range(256))) + "aeiouDLSTVR'' '  "
+    texts += ["".join(r.choice(latin) for _ in range(r.randint(0, 80))) for _ in range(400)] + ["a <|endoftext|> b", "<|ENDOFTEXT|>"]
     for text, ids in zip(texts, own.encode_batch(texts), strict=True):
         assert np.frombuffer(ids, "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids, repr(text)
         assert own.decode(ids) == text
-        assert np.frombuffer(words(text), "<u4").tolist() == word.encode(text, add_special_tokens=False).ids, repr(text)
+        assert np.frombuffer(words(text), "<u2").tolist() == word.encode(text, add_special_tokens=False).ids, repr(text)
 
 
 PAGES = {
