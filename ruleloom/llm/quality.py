@@ -1,11 +1,15 @@
 """Quality rules: robust multivariate outliers within each language and source.
 
 Texts become statistics by SQL functions alone. For each group of documents of one language and
-source, the minimum covariance determinant estimate of location and scatter is found by
-concentration steps: distances, the closest SUBSET share of the group, their mean and covariance,
-and again until the estimates settle. With a subset of one half, junk may be almost half of a group. A document is rejected if its Mahalanobis distance from that estimate, made consistent
-for the normal distribution, is beyond CUTOFF. Groups of under LEAST documents are pooled within
-their language, and pools of under LEAST over all of it.
+source, the minimum covariance determinant estimate of location and scatter is searched from several
+deterministic starts: medians with the spreads between quartiles, with the scatter of spatial signs,
+and with the scatter of hyperbolic tangents. A concentration step takes the closest SUBSET share of
+the group, and its mean and covariance as the next estimate. After FIRST_STEPS from every start the
+one of the lowest determinant goes on until its determinant falls no more. With a subset of one half,
+junk may be almost half of a group. A document is rejected if its Mahalanobis distance from that
+estimate, made consistent for the normal distribution, is beyond CUTOFF. Groups of under LEAST
+documents are pooled within their language, and pools of under LEAST over the whole table; a table of
+fewer is judged by itself, with a covariance widened for its size.
 
 Quantiles come from counts of narrow bins, so every step is one grouped sum of bounded size,
 whatever a group holds; nothing is sampled.
@@ -22,9 +26,14 @@ from .common import written
 SPACE = r"\\x20\\x09-\\x0D"
 LEAST = 60
 SUBSET = 0.5
-#: Estimates have settled when no group's log-determinant moves by more; steps end there or at MOST_STEPS.
+#: Concentration steps from every start, before the best of them goes on.
+FIRST_STEPS = 2
+#: Steps end when no group's log-determinant falls by more.
 SETTLED = 0.01
-MOST_STEPS = 30
+#: A bound against rounding that lets determinants fall for ever; reaching it is an error.
+MOST_STEPS = 200
+#: A covariance from n documents is widened by SMALL / n of itself.
+SMALL = 12
 #: Squared distance beyond which a document is rejected; far in the tail of chi-squared with 6
 #: degrees of freedom (1e-15), as ratios in texts have longer tails than the normal distribution.
 CUTOFF = 83.0
@@ -39,7 +48,6 @@ CONSISTENCY = 1.7844
 def statistics(docs: DataFrame, keep: list[str]) -> DataFrame:
     """``keep`` and n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_upper, n_marks of ``text``."""
     d = docs.select(*keep, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_t"))
-    trimmed = f"regexp_replace(_t, '^[{SPACE}]+|[{SPACE}]+$', '')"
     lines = f"filter(split(_t, '\n', -1), l -> l rlike '[^{SPACE}]')"
     # names in lambdas bind a value once: let(x, body) = transform(array(x), v -> body)[0]
     windows = (
@@ -57,7 +65,7 @@ def statistics(docs: DataFrame, keep: list[str]) -> DataFrame:
         f"transform(array({windows}), v -> if(size(array_distinct(v)) = size(v), 0L,"
         f" transform(array(array_sort(transform(v, (h, i) -> named_struct('h', h, 'i', i)))), s -> {covered})[0]))[0]"
     )
-    d = d.withColumn("_w", F.expr(f"filter(split({trimmed}, '[{SPACE}]+', -1), w -> w != '')"))
+    d = d.withColumn("_w", F.expr(f"filter(split(_t, '[{SPACE}]+', -1), w -> w != '')"))
     return d.select(
         *keep,
         F.expr("cast(size(_w) as long)").alias("n_words"),
@@ -123,8 +131,8 @@ def _quantile_bin(counts: DataFrame, by: list[str], share: float) -> DataFrame:
 WIDTH = 0.004
 
 
-def start(spark: SparkSession, rows: DataFrame) -> DataFrame:
-    """(g, mean, w): medians, and a whitening by spreads between quartiles."""
+def medians(spark: SparkSession, rows: DataFrame) -> DataFrame:
+    """(g, m, s): medians of the features, and spreads between quartiles."""
     pairs = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.floor(F.col(c) / WIDTH).alias("bin")) for k, c in enumerate(NAMES)]))
     counts = rows.select("g", pairs.alias("x")).groupBy("g", "x.k", "x.bin").agg(F.count("*").alias("n"))
     counts = written(spark, counts, "quality-bins")
@@ -132,19 +140,44 @@ def start(spark: SparkSession, rows: DataFrame) -> DataFrame:
     both = q[0].join(q[1], ["g", "k"]).join(q[2], ["g", "k"])
     floor = F.element_at(F.array(*[F.lit(x) for x in FEATURES.values()]), F.col("k") + 1)
     spread = F.greatest((F.col("q2") - F.col("q0")) * WIDTH / 1.349, floor)
-    one = both.select("g", "k", ((F.col("q1") + 0.5) * WIDTH).alias("m"), (1 / spread).alias("s"))
-    rows_of = F.sort_array(F.collect_list(F.struct("k", "m", "s")))
+    one = both.select("g", "k", ((F.col("q1") + 0.5) * WIDTH).alias("m"), spread.alias("s"))
+    gathered = one.groupBy("g").agg(F.sort_array(F.collect_list(F.struct("k", "m", "s"))).alias("a"))
+    return written(spark, gathered.select("g", F.col("a.m").alias("m"), F.col("a.s").alias("s")), "quality-medians")
+
+
+def starts(spark: SparkSession, rows: DataFrame) -> DataFrame:
+    """(g, k, mean, w): estimates to start from; k is 0 for quartiles, 1 for spatial signs, 2 for tangents."""
     p = len(NAMES)
-    diagonal = F.array(*[F.array(*[F.col("a")[i]["s"] if i == j else F.lit(0.0) for j in range(i + 1)]) for i in range(p)])
-    return written(
-        spark,
-        one.groupBy("g").agg(rows_of.alias("a")).select("g", F.array(*[F.col("a")[i]["m"] for i in range(p)]).alias("mean"), diagonal.alias("w")),
-        "quality-start",
+    middle = medians(spark, rows)
+    z = rows.join(middle, "g").select("g", *[((F.col(c) - F.col("m")[i]) / F.col("s")[i]).alias(f"z{i}") for i, c in enumerate(NAMES)])
+    size = F.sqrt(sum((F.col(f"z{i}") * F.col(f"z{i}") for i in range(1, p)), F.col("z0") * F.col("z0")))
+    views = [
+        [F.col(f"z{i}") / F.greatest(size, F.lit(1e-9)) for i in range(p)],
+        [F.tanh(F.col(f"z{i}")) for i in range(p)],
+    ]
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), *[x.alias(f"y{i}") for i, x in enumerate(v)]) for k, v in enumerate(views, 1)]))
+    each = z.select("g", each.alias("v")).select("g", "v.*")
+    scatter = each.groupBy("g", "k").agg(
+        F.count("*").alias("n"), *[F.avg(F.col(f"y{i}") * F.col(f"y{j}")).alias(f"y{i}{j}") for i in range(p) for j in range(i + 1)]
     )
+    # correlations of the views with the spreads between quartiles, as moments about the medians
+    shape = scatter.join(middle, "g")
+    scale = lambda i, j: F.sqrt(F.greatest(F.col(f"y{i}{i}") * F.col(f"y{j}{j}"), F.lit(1e-12)))
+    found = shape.select(
+        "g", "k", "n", *[F.col("m")[i].alias(f"m{i}") for i in range(p)],
+        *[
+            (F.col("m")[i] * F.col("m")[j] + F.col("s")[i] * F.col("s")[j] * (F.lit(1.0) if i == j else F.col(f"y{i}{j}") / scale(i, j))).alias(f"c{i}{j}")
+            for i in range(p)
+            for j in range(i + 1)
+        ],
+    )
+    diagonal = F.array(*[F.array(*[1 / F.col("s")[i] if i == j else F.lit(0.0) for j in range(i + 1)]) for i in range(p)])
+    plain = middle.select("g", F.lit(0).alias("k"), F.col("m").alias("mean"), diagonal.alias("w"))
+    return written(spark, plain.unionByName(whiten(found)), "quality-starts")
 
 
-def distance(estimates: DataFrame, rows: DataFrame, how: str = "inner") -> DataFrame:
-    """Adds ``distance``, the squared length of w (x - mean)."""
+def distances(estimates: DataFrame, rows: DataFrame, how: str = "inner") -> DataFrame:
+    """Adds k and ``distance``, the squared length of w (x - mean), for each estimate of the row's group."""
     total = None
     for i in range(len(NAMES)):
         z = None
@@ -152,53 +185,59 @@ def distance(estimates: DataFrame, rows: DataFrame, how: str = "inner") -> DataF
             term = F.col("w")[i][j] * (F.col(NAMES[j]) - F.col("mean")[j])
             z = term if z is None else z + term
         total = z * z if total is None else total + z * z
+    # estimates are a row for each group and start: sent to all tasks where their size allows, else shuffled
     return rows.join(estimates, "g", how).withColumn("distance", F.round(total, 6)).drop("mean", "w")
 
 
 def step(spark: SparkSession, estimates: DataFrame, rows: DataFrame) -> DataFrame:
-    """A concentration step: the estimate from the closest SUBSET of each group."""
-    near = distance(estimates, rows)
-    bins = F.floor(F.log(F.col("distance") + 1e-6) * 50).alias("bin")
-    counts = written(spark, near.groupBy("g", bins).agg(F.count("*").alias("n")), "quality-distances")
-    limit = _quantile_bin(counts, ["g"], SUBSET).withColumnRenamed("bin", "most")
-    inside = near.join(limit, "g").filter(F.floor(F.log(F.col("distance") + 1e-6) * 50) <= F.col("most"))
+    """A concentration step: the estimates from the closest SUBSET of each group, for each start."""
+    near = distances(estimates, rows).withColumn("bin", F.floor(F.log(F.col("distance") + 1e-6) * 50))
+    counts = written(spark, near.groupBy("g", "k", "bin").agg(F.count("*").alias("n")), "quality-distances")
+    limit = _quantile_bin(counts, ["g", "k"], SUBSET).withColumnRenamed("bin", "most")
+    inside = near.join(limit, ["g", "k"]).filter("bin <= most")
     p = len(NAMES)
     sums = [F.count("*").alias("n")] + [F.avg(c).alias(f"m{i}") for i, c in enumerate(NAMES)]
     sums += [F.avg(F.col(NAMES[i]) * F.col(NAMES[j])).alias(f"c{i}{j}") for i in range(p) for j in range(i + 1)]
-    moments = written(spark, inside.groupBy("g").agg(*sums), "quality-moments")
+    moments = written(spark, inside.groupBy("g", "k").agg(*sums), "quality-moments")
     return written(spark, whiten(moments), "quality-estimates")
 
 
-def settled(before: DataFrame, after: DataFrame) -> bool:
-    """Whether no group's log-determinant moved by more than SETTLED."""
-
-    def spread(estimates: DataFrame, name: str) -> DataFrame:
-        total = sum((F.log(F.col("w")[i][i]) for i in range(len(NAMES))), F.lit(0.0))
-        return estimates.select("g", (-2 * total).alias(name))
-
-    both = spread(before, "old").join(spread(after, "new"), "g")
-    return (both.agg(F.max(F.abs(F.col("new") - F.col("old")))).first()[0] or 0.0) <= SETTLED
+def log_determinant() -> Column:
+    """Of the covariance whose inverse is w'w."""
+    return -2 * sum((F.log(F.col("w")[i][i]) for i in range(1, len(NAMES))), F.log(F.col("w")[0][0]))
 
 
 def settle(spark: SparkSession, rows: DataFrame) -> DataFrame:
-    """The estimates at which concentration steps from ``start`` settle."""
-    estimates = start(spark, rows)
+    """(g, mean, w): the estimate of the lowest determinant that concentration steps come to."""
+    estimates = starts(spark, rows)
+    for _ in range(FIRST_STEPS):
+        estimates = step(spark, estimates, rows)
+    ranked = estimates.withColumn("spread", F.round(log_determinant(), 6))
+    best = ranked.groupBy("g").agg(F.min_by(F.struct("k", "mean", "w"), F.struct("spread", "k")).alias("e"))
+    estimates = written(spark, best.select("g", "e.*"), "quality-best")
     for _ in range(MOST_STEPS):
-        before, estimates = estimates, step(spark, estimates, rows)
-        if settled(before, estimates):
-            break
-    return estimates
+        after = step(spark, estimates, rows)
+        both = estimates.select("g", log_determinant().alias("old")).join(after.select("g", "k", "mean", "w", log_determinant().alias("new")), "g")
+        # a group whose determinant falls no more keeps the estimate that it has
+        kept = both.join(estimates.select("g", F.struct("k", "mean", "w").alias("former")), "g").select(
+            "g", F.when(F.col("new") < F.col("old"), F.struct("k", "mean", "w")).otherwise(F.col("former")).alias("e"), (F.col("old") - F.col("new")).alias("fall")
+        )
+        kept = written(spark, kept, "quality-kept")
+        estimates = kept.select("g", "e.*")
+        if (kept.agg(F.max("fall")).first()[0] or 0.0) <= SETTLED:
+            return estimates.drop("k")
+    raise RuntimeError(f"determinants still fall after {MOST_STEPS} steps")
 
 
 def whiten(moments: DataFrame) -> DataFrame:
-    """(g, mean, w) with w'w the inverse covariance: Cholesky factor and its inverse, a column for each entry."""
+    """(g, k, mean, w) with w'w the inverse covariance: Cholesky factor and its inverse, a column for each entry."""
     p = len(NAMES)
     floors = list(FEATURES.values())
     d = moments
     entries = {}
     for i in range(p):
         for j in range(i + 1):
-            c = CONSISTENCY * (F.col(f"c{i}{j}") - F.col(f"m{i}") * F.col(f"m{j}"))
+            c = (CONSISTENCY + SMALL / F.col("n")) * (F.col(f"c{i}{j}") - F.col(f"m{i}") * F.col(f"m{j}"))
             entries[f"s{i}{j}"] = c + F.lit(floors[i] ** 2) if i == j else c
     d = d.withColumns(entries)
     for j in range(p):
@@ -224,6 +263,7 @@ def whiten(moments: DataFrame) -> DataFrame:
         d = d.withColumns(row)
     return d.select(
         "g",
+        "k",
         F.array(*[F.col(f"m{i}") for i in range(p)]).alias("mean"),
         F.array(*[F.array(*[F.col(f"v{i}{j}") for j in range(i + 1)]) for i in range(p)]).alias("w"),
     )
@@ -233,7 +273,7 @@ def verdicts(spark: SparkSession, docs: DataFrame, cutoff: float = CUTOFF) -> Da
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, distance for every row of docs.
 
     Null and empty texts have zeros and fail the base rule. A null language or source is a value of
-    its own. Without LEAST documents to judge by, only the base rule rejects (distance is null then).
+    its own. Documents that fail the base rule are in no estimate; without any other, distance is null.
     """
     columns = set(docs.columns)
     own = docs.select(
@@ -243,11 +283,8 @@ def verdicts(spark: SparkSession, docs: DataFrame, cutoff: float = CUTOFF) -> Da
     rows = written(spark, features(statistics(own, ["doc_id", "lang", "source"])), "quality-stats")
     rows = grouped(spark, rows)
     judged = written(spark, rows, "quality-rows")
-    good = judged.filter("not base_failed")
-    sizes = good.groupBy("g").agg(F.count("*").alias("n")).filter(F.col("n") >= LEAST).select("g")
-    good = good.join(written(spark, sizes, "quality-sizes"), "g")
-    estimates = settle(spark, good)
-    return distance(estimates, judged, "left").select(
+    estimates = settle(spark, judged.filter("not base_failed"))
+    return distances(estimates, judged, "left").select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         (~F.col("base_failed") & F.coalesce(F.col("distance") <= cutoff, F.lit(True))).alias("kept"),
         "distance",

@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
+import unicodedata
+
+import numpy as np
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -63,6 +67,43 @@ def quality(text: str | None) -> tuple:
     return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(covered), failed
 
 
+def quality_features(text: str | None) -> list[float]:
+    """What op4 judges a text by, counted anew."""
+    n_words, chars, symbols, dup_lines, repeats, _ = quality(text)
+    t = text or ""
+    lines = len([x for x in t.split("\n") if WORDS.search(x)])
+    upper = sum(unicodedata.category(c) == "Lu" for c in t)
+    marks = sum(unicodedata.category(c)[0] not in "LN" and c not in " \t\n\r\f\v#*$%&|<>" for c in t)
+    share = lambda a, b, extra: (a / (b + extra)) ** 0.5
+    return [
+        math.log((chars + 150) / (n_words + 30)), share(symbols, chars, 150), share(upper, chars, 150), share(marks, chars, 150),
+        share(dup_lines, lines, 5), share(repeats, n_words, 30),
+    ]
+
+
+def robust_distances(x: np.ndarray, floors: np.ndarray, consistency: float, starts: int = 200, seed: int = 1) -> np.ndarray:
+    """Squared distances from the half of lowest determinant that many random starts lead to."""
+    r = np.random.default_rng(seed)
+    half = -(-len(x) // 2)
+
+    def estimate(rows):
+        return rows.mean(axis=0), consistency * np.cov(rows.T, bias=True) + np.diag(floors**2)
+
+    def squared(mean, cov):
+        d = x - mean
+        return np.einsum("ij,ij->i", d, np.linalg.solve(cov, d.T).T)
+
+    best = (np.inf, None)
+    for _ in range(starts):
+        mean, cov = estimate(x[r.choice(len(x), x.shape[1] + 1, replace=False)])
+        before = np.inf
+        while (now := np.linalg.slogdet(cov)[1]) < before - 1e-9 or before == np.inf:
+            before = now
+            mean, cov = estimate(x[np.argsort(squared(mean, cov), kind="stable")[:half]])
+        best = min(best, (now, squared(mean, cov)), key=lambda b: b[0])
+    return best[1]
+
+
 def secrets(text: str | None) -> list[tuple[int, int, int]]:
     t = text or ""
     assign = r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""

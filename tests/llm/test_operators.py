@@ -2,7 +2,9 @@ from __future__ import annotations
 
 import hashlib
 import random
+import time
 import zlib
+from xml.etree import ElementTree
 
 import numpy as np
 import public_tokenizers
@@ -86,6 +88,48 @@ def test_quality(spark):
     assert quality.verdicts(spark, empty(spark)).count() == 0
 
 
+def test_quality_of_unusual_spaces(spark):
+    texts = ["abc \u2028", "one two \u2029", "a\u0085", "\u2028", " \u0085 b", "x \u2029\n\u2028 y\u0085\n", " " * 300_000 + "a" + " " * 300_000 + "b"]
+    got = by_id(quality.verdicts(spark, documents(spark, texts)))
+    for k, text in enumerate(texts):
+        r = got[k]
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"]) == brute.quality(text), k
+
+
+def test_quality_against_brute_force(spark):
+    r = random.Random(11)
+    words = "alpha beta gamma delta eps zeta eta theta iota kappa mu nu".split()
+
+    def text(kind):
+        own = [r.choice(words) + str(r.randint(0, 9999)) for _ in range(r.randint(25, 90))]
+        if kind == "marks":
+            own = [w + r.choice([".", ",", "!?", ";;"]) * r.randint(2, 4) for w in own]
+        if kind == "upper":
+            own = [w.upper() for w in own]
+        if kind == "symbols":
+            own = [w + "|" * r.randint(1, 5) for w in own]
+        return " ".join(own)
+
+    kinds = ["plain"] * 150 + ["marks"] * 40 + ["upper"] * 30 + ["symbols"] * 20
+    groups = [[text(k) for k in kinds] for _ in range(2)] + [[text(k) for k in ["plain"] * 30 + ["symbols"] * 5]]
+    rows = [(1000 * g + k, t, "en", f"s{g}") for g, ts in enumerate(groups[:2]) for k, t in enumerate(ts)]
+    rows += [(5000 + k, t, "xx", "few") for k, t in enumerate(groups[2])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = by_id(quality.verdicts(spark, docs))
+    floors, clear = np.array(list(quality.FEATURES.values())), 0
+    for g, ts in enumerate(groups[:2]):
+        x = np.array([brute.quality_features(t) for t in ts])
+        # (consistency as op4 takes it for the closest half)
+        want = brute.robust_distances(x, floors, quality.CONSISTENCY + quality.SMALL / (len(x) / 2))
+        for k, d in enumerate(want):
+            if not 0.7 < d / quality.CUTOFF < 1.4:
+                clear += 1
+                assert got[1000 * g + k]["kept"] == (d <= quality.CUTOFF), (kinds[k], d, got[1000 * g + k]["distance"])
+    assert clear >= 440 and all(got[5000 + k]["kept"] for k in range(30)) and not any(got[5030 + k]["kept"] for k in range(5))
+    alone = by_id(quality.verdicts(spark, docs.filter("doc_id >= 5000")))
+    assert all(alone[5000 + k]["kept"] for k in range(30)) and not any(alone[5030 + k]["kept"] for k in range(5))
+
+
 def test_quality_of_sources_with_much_junk(spark):
     r = random.Random(6)
     words = "alpha beta gamma delta eps zeta eta theta iota kappa mu nu".split()
@@ -371,6 +415,75 @@ def test_html_tags_without_ends():
     assert html_text.main_text("<article><p>a</p><script>var b = '<p>c</p>';") == "a"
 
 
+def test_html_keeps_what_is_not_layout():
+    cases = {
+        "<body><p>Hi</p><table><tr><td>cell one</td><td>cell two</td></tr></table></body>": "Hi\ncell one\ncell two",
+        "<body><div>One short, para.</div><div>Two is the longer, much longer paragraph, of all.</div><div>Three.</div></body>":
+            "One short, para.\nTwo is the longer, much longer paragraph, of all.\nThree.",
+        "<article><h1>T</h1><p>Text, one.</p><div class='related-work'><p>Smith found</p></div><section id=discussion><p>We discuss.</p></section>"
+        "<div class=comments><p>nice</p></div><div class=alert>Old.</div></article>": "T\nText, one.\nSmith found\nWe discuss.",
+        "<article><p>a</p><svg><svg><text>x</text></svg><text>inner</text></svg><p>b</p></article>": "a\nb",
+        "<div class=row><div><p>First, of the two parts, which are, all in all, long.</p></div></div><div class=row><div><p>Second, part.</p></div></div>":
+            "First, of the two parts, which are, all in all, long.\nSecond, part.",
+    }
+    for page, text in cases.items():
+        assert html_text.main_text(page) == text, page
+    links = "<div>" + "".join(f"<a href=/{k}>Section {k}</a> " for k in range(9)) + "</div>"
+    body = "<h1>T</h1>" + "".join(f"<div><p>Part {k}, of the text, which goes on, and on.</p></div>" for k in range(4))
+    assert html_text.main_text(f"<body>{links}{body}{links}</body>") == "T\n" + "\n".join(f"Part {k}, of the text, which goes on, and on." for k in range(4))
+
+
+def test_html_in_linear_time():
+    for piece in ("<ul><li>a", "<b>", "<article>a", "<svg><svg>", "<svg><p>", "<div>a", "<table><tr><td>a", "<hr>a</b>", "<svg><desc>", "<!-- ", "<a href=x>y"):
+        start = time.perf_counter()
+        html_text.main_text(piece * 20_000)
+        html_text.main_text("<b>" * 2000 + piece * 20_000 + "</svg>")
+        assert time.perf_counter() - start < 20, piece
+
+
+def plain_scores(page):
+    """The scores of div elements that hold only plain paragraphs, by the definition."""
+    root = ElementTree.fromstring(page)
+    above = {child: parent for parent in root.iter() for child in parent}
+    points = {}
+    for p in root.iter("p"):
+        own = 1 + p.text.count(",") + min(len(p.text) / 100, 3)
+        node, level = above[p], 0
+        while node.tag == "div":
+            points.setdefault(node.get("n"), 5.0)
+            points[node.get("n")] += own / (1, 2, 6, 9, 12)[min(level, 4)]
+            node, level = above[node], level + 1
+    return points
+
+
+def test_html_scores_against_brute_force():
+    r = random.Random(12)
+    for _ in range(60):
+        number = iter(range(1000))
+
+        def part(depth):
+            inner = "".join(
+                part(depth + 1) if r.random() < 0.4 and depth < 7 else f"<p>{', '.join('word' * r.randint(1, 9) for _ in range(r.randint(1, 6)))}</p>" for _ in range(r.randint(1, 3))
+            )
+            return f'<div n="{next(number)}">{inner}</div>'
+
+        page = f"<body>{part(0)}{part(0)}</body>"
+        blocks, _, nodes = html_text.parse(page)
+        html_text.weigh(blocks, nodes)
+        html_text.best_text(blocks, nodes)
+        got = {n.attrs.strip()[3:-1]: n.points for n in nodes if n.tag == "div"}
+        want = plain_scores(page)
+        assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-9 for k in got)
+
+
+def test_html_of_odd_tables(spark):
+    schema = "page_id long, url string, html string, text string, n_chars string"
+    pages = spark.createDataFrame([(None, None, "<p>a", "x", "y"), (1, "u", None, None, None), (1, "u", "<p>a", "x", None), (1, "u", "<p>a", "x", None)], schema)
+    got = sorted(map(tuple, html_text.extract(pages).collect()), key=repr)
+    assert got == sorted([(None, None, "a", 1), (1, "u", "", 0), (1, "u", "a", 1), (1, "u", "a", 1)], key=repr)
+    assert html_text.extract(pages.limit(0)).count() == 0
+
+
 def test_null_ids(spark):
     docs = spark.createDataFrame([(None, "a b"), (None, None), (7, "x")], "doc_id long, text string")
     for out in (licenses.scan(docs), pii.scan(spark, docs), quality.verdicts(spark, docs), secret_scan.scan(spark, docs), bpe.digest(docs, tokenizer_json("byte_bpe_50k.json"))):
