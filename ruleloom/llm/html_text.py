@@ -5,14 +5,17 @@ forms, adverts, comments, ... by tag, role, class or id) are cut off; those name
 are spared if they hold the main element or most of the prose, and names count for nothing if little
 text is left by them. Each block of text passes
 points for its length and commas to its ancestors, less the further up; points are scaled by
-1 - link density. The best container, widened to an article or main element around it, is kept with
-those of its siblings that score near it or read like prose. Blocks are joined in page order.
+1 - link density. The best container, widened to an article or main element around it or out of the
+table or list that it is part of, is kept with what stands beside it or beside an element around it
+and scores near it or reads like prose. Blocks are joined in page order. Time is in proportion to the
+page and its depth of inline markup, however deep its blocks are nested.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -63,6 +66,10 @@ LAYOUT = (
     r"|cookie\w*|consent|gdpr|notice\w*|alert\w*|popup|modal|overlay|disclaimer|legal|copyright|skip\w*|hidden|toolbar|tags?|tagcloud|outbrain|taboola)"
     r"(?=$|[\s_-])"
 )
+#: Words that name parts of an article as well: inside one they name no layout.
+OF_ARTICLES = re.compile(
+    r"(?:^|(?<=[\s_-]))(?:related-?work\w*|side|respond|replies|discussions?|legal|tags?|alert(?!s?(?:$|[\s_-]))\w*|disclaimer|skip\w*|rail)(?=$|[\s_-])", re.I
+)
 UNLIKELY = re.compile(r"(?:^|[\s_-])" + LAYOUT, re.I)
 #: As a whole class name or the head of one, such a word names the element; elsewhere it may only describe it.
 NAMED = re.compile(r"(?:^|\s)(?!side-by|legal-)" + LAYOUT, re.I)
@@ -74,16 +81,23 @@ POINTS = {"article": 25.0, "main": 20.0, "section": 5.0, "div": 5.0, "td": 3.0,
 
 
 class Node:
-    __slots__ = ("tag", "parent", "attrs", "start", "points", "chars", "linked", "blocks", "drop", "name", "holds")
+    __slots__ = ("tag", "parent", "attrs", "start", "points", "passed", "chars", "linked", "drop", "name", "holds", "block", "inside", "scored", "kept")
 
     def __init__(self, tag: str, parent: Node | None, attrs: str, start: int = 0):
         self.tag, self.parent, self.attrs, self.start = tag, parent, attrs, start
-        self.points, self.chars, self.linked, self.blocks = 0.0, 0, 0, 0
+        #: Points, and those of blocks 0, 1, 2, 3 and more levels below, before they are shared out.
+        self.points, self.passed = 0.0, [0.0] * 5
+        self.chars, self.linked, self.scored, self.kept = 0, 0, False, False
+        #: The nearest block element, and whether an article or main element is around.
+        self.block = self if tag in BLOCK or parent is None else parent.block
+        self.inside = bool(parent and (parent.inside or parent.tag in ("article", "main")))
         #: The class and id, if they name it as no part of the article, and which of article and main it holds.
         self.name, self.holds = "", set()
         self.drop = bool(parent and parent.drop) or self._unwanted()
         if not self.drop and tag in ("article", "main"):
             for node in self.above():
+                if tag in node.holds:
+                    break
                 node.holds.add(tag)
 
     def _unwanted(self) -> bool:
@@ -98,7 +112,9 @@ class Node:
             return True
         names = " ".join([found.get("class", ""), found.get("id", "")])
         # an element named header outside of articles heads the page
-        heads = self.tag != "header" and HEADER.search(names) and not any(a.tag in ("article", "main") for a in self.above())
+        heads = self.tag != "header" and HEADER.search(names) and not self.inside
+        if self.inside:
+            names = OF_ARTICLES.sub("", names)
         if names.strip() and (UNLIKELY.search(names) or heads):
             self.name = names
         return False
@@ -120,14 +136,32 @@ class Node:
 Blocks = list[tuple[Node, str, int]]
 
 
-def parse(page: str, spared: set[int] | None = None) -> tuple[Blocks, list[Node]]:
-    """(element, text, characters in links) of every block outside dropped elements, in order; and the named elements.
+def end_of_raw(page: str, tag: str, at: int, limit: int) -> re.Match | None:
+    """The end tag of an element whose content isn't read; svg and math may hold their like."""
+    end = re.compile(rf"</{tag}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I)
+    if tag not in ("svg", "math"):
+        return end.search(page, at, limit)
+    depth, found = 1, None
+    for m in re.compile(rf"<(/?){tag}(?=[\s/>]|\Z)([^>]*)(?:>|\Z)", re.I).finditer(page, at, limit):
+        if m.group(1):
+            depth, found = depth - 1, m
+            if not depth:
+                break
+        elif not m.group(2).endswith("/"):
+            depth += 1
+    return found
+
+
+def parse(page: str, spared: set[int] | None = None) -> tuple[Blocks, list[Node], list[Node]]:
+    """(element, text, characters in links) of every block outside dropped elements, in order; the named elements; all.
 
     Named elements are dropped but for those that start at ``spared``; without it, all are kept.
     """
     root = Node("#root", None, "")
     named: list[Node] = []
+    nodes = [root]
     stack, blocks = [root], []
+    open_: Counter = Counter()
     parts: list[str] = []
     owner, linked, links = root, 0, 0
 
@@ -147,9 +181,7 @@ def parse(page: str, spared: set[int] | None = None) -> tuple[Blocks, list[Node]
             return
         text = html.unescape(raw) if "&" in raw else raw
         if not parts:
-            while node.tag not in BLOCK and node.parent is not None:
-                node = node.parent
-            owner = node
+            owner = node.block
         parts.append(text)
         if links:
             linked += len(text.strip())
@@ -161,18 +193,23 @@ def parse(page: str, spared: set[int] | None = None) -> tuple[Blocks, list[Node]
             if node.tag in BLOCK:
                 flush()
             links -= node.tag == "a"
+            open_[node.tag] -= 1
         del stack[depth:]
 
-    def close(kinds, scope) -> None:
+    def close(kinds, scope) -> bool:
+        """Closes the nearest element of these kinds within the scope, if there is one."""
+        if not any(open_[k] for k in kinds):
+            return False
         for depth in range(len(stack) - 1, 0, -1):
             tag = stack[depth].tag
             if tag in kinds:
                 close_to(depth)
-                return
+                return True
             if tag in scope:
-                return
+                return False
+        return False
 
-    at = 0
+    at, closed_in = 0, len(page)
     endless: set[str] = set()
     while True:
         m = MARKUP.search(page, at)
@@ -190,7 +227,7 @@ def parse(page: str, spared: set[int] | None = None) -> tuple[Blocks, list[Node]
             break
         tag = name.lower()
         if end:
-            if tag in BLOCK or tag in ("a", "b", "i") or any(n.tag == tag for n in stack[-8:]):
+            if open_[tag] and (tag in BLOCK or tag in ("a", "b", "i") or any(n.tag == tag for n in stack[-8:])):
                 for depth in range(len(stack) - 1, 0, -1):
                     if stack[depth].tag == tag:
                         close_to(depth)
@@ -209,12 +246,8 @@ def parse(page: str, spared: set[int] | None = None) -> tuple[Blocks, list[Node]
             if tag in HEADINGS:
                 close(HEADINGS, P_SCOPE)
         if tag in CLOSES:
-            kinds, scope = CLOSES[tag]
-            while any(n.tag in kinds for n in stack[1:]):
-                before = len(stack)
-                close(kinds, scope)
-                if len(stack) == before:
-                    break
+            while close(*CLOSES[tag]):
+                pass
         if tag == "a" and links:
             close({"a"}, BLOCK)
         if tag in VOID:
@@ -222,9 +255,13 @@ def parse(page: str, spared: set[int] | None = None) -> tuple[Blocks, list[Node]
         if tag in ("svg", "math") and attrs.endswith("/") and not UNQUOTED.search(attrs):
             continue
         if tag in RAW:
-            stop = None if tag in endless else re.compile(rf"</{tag}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(page, at)
-            out = BREAKOUT.search(page, at, stop.start() if stop else len(page)) if tag in ("svg", "math") else None
-            if out and not FOREIGN.search(page, at, out.start()):
+            out = BREAKOUT.search(page, at) if tag in ("svg", "math") and at < closed_in else None
+            if out is None and tag in ("svg", "math"):
+                closed_in = min(closed_in, at)
+            if out and FOREIGN.search(page, at, out.start()):
+                out = None
+            stop = None if tag in endless else end_of_raw(page, tag, at, out.start() if out else len(page))
+            if out and not stop:
                 at = out.start()
             elif stop:
                 at = stop.end()
@@ -235,101 +272,123 @@ def parse(page: str, spared: set[int] | None = None) -> tuple[Blocks, list[Node]
             continue
         if attrs.endswith("/") and tag not in BLOCK and tag != "a":
             continue
-        if tag == "html" and any(n.tag == "html" for n in stack) or tag == "body" and any(n.tag == "body" for n in stack):
+        if tag in ("html", "body") and open_[tag]:
             continue
         node = Node(tag, stack[-1], attrs, m.start())
+        nodes.append(node)
         if not node.drop and node.outside():
             node.drop = True
         elif not node.drop and node.name:
             named.append(node)
             node.drop = spared is not None and node.start not in spared
         stack.append(node)
+        open_[tag] += 1
         links += tag == "a"
     flush()
-    return blocks, named
+    return blocks, named, nodes
+
+
+def weigh(blocks: Blocks, nodes: list[Node]) -> None:
+    """Characters, and those in links, of every element with all that it holds."""
+    for owner, text, linked in blocks:
+        owner.chars += len(text)
+        owner.linked += linked
+    for node in reversed(nodes[1:]):
+        node.parent.chars += node.chars
+        node.parent.linked += node.linked
 
 
 def main_text(page: str) -> str:
     """The article's text; empty if the page has none."""
-    blocks, named = parse(page)
+    blocks, named, nodes = parse(page)
+    weigh(blocks, nodes)
     if not named:
-        return best_text(blocks)
-    prose: dict[int, int] = {}
-    total = 0
-    for owner, text, linked in blocks:
-        total += len(text) - linked
-        for node in (owner, *owner.above()):
-            prose[id(node)] = prose.get(id(node), 0) + len(text) - linked
+        return best_text(blocks, nodes)
+    prose = lambda node: node.chars - node.linked
+    total = prose(nodes[0])
     spared = {
         node.start
         for node in named
-        if "main" in node.holds or 2 * prose.get(id(node), 0) > total and ("article" in node.holds or not NAMED.search(node.name))
+        if "main" in node.holds or 2 * prose(node) > total and ("article" in node.holds or not NAMED.search(node.name))
     }
-    text = best_text(parse(page, spared)[0])
-    if len(text) < TINY and len(whole := best_text(blocks)) >= max(1, LONGER * len(text)):
+    left, _, rest = parse(page, spared)
+    weigh(left, rest)
+    text = best_text(left, rest)
+    if len(text) < TINY and len(whole := best_text(blocks, nodes)) >= max(1, LONGER * len(text)):
         return whole
     return text
 
 
-def best_text(blocks: Blocks) -> str:
+#: What a block's points are divided by for the element that holds it, and those 1, 2, 3 and more levels above.
+SHARES = (1, 2, 6, 9, 12)
+#: Parts of tables and lists are not articles by themselves.
+PARTS = frozenset("td th tr tbody thead tfoot table caption li ul ol dd dt dl p pre blockquote figure figcaption".split())
+
+
+def best_text(blocks: Blocks, nodes: list[Node]) -> str:
     """The text of the best container and what belongs to it."""
     if not blocks:
         return ""
-    candidates: dict[int, Node] = {}
     for owner, text, linked in blocks:
         prose = 1.0 + text.count(",") + text.count("،") + text.count("，") + min(len(text) / 100, 3.0)
-        prose *= 1 - min(1.0, linked / len(text))
         holder = owner if owner.tag in POINTS else owner.parent or owner
-        level = 0
-        for node in (holder, *holder.above()):
-            if node.tag in ("#root", "html"):
-                break
-            if id(node) not in candidates:
-                candidates[id(node)] = node
-                node.points += POINTS.get(node.tag, 0.0)
-            node.points += prose / (1, 2, 6, 9, 12)[min(level, 4)]
-            level += 1
-        for node in (owner, *owner.above()):
-            node.chars += len(text)
-            node.linked += linked
-            node.blocks += 1
+        holder.passed[0] += prose * (1 - min(1.0, linked / len(text)))
+        holder.scored = True
+    # elements come before what they hold
+    for node in reversed(nodes[1:]):
+        above = node.parent
+        if node.scored:
+            above.scored = True
+            for k in range(4):
+                above.passed[k + 1] += node.passed[k]
+            above.passed[4] += node.passed[4]
+    candidates = [n for n in nodes if n.scored and n.tag not in ("#root", "html")]
     if not candidates:
         return "\n".join(text for _, text, _ in blocks)
+    for node in candidates:
+        node.points = POINTS.get(node.tag, 0.0) + sum(p / s for p, s in zip(node.passed, SHARES, strict=True))
 
     def worth(node: Node) -> float:
         return node.points * (1 - node.density())
 
-    best = max(candidates.values(), key=worth)
+    best = max(candidates, key=worth)
+    least = 0.2 * worth(best)
+    while best.tag in PARTS and best.parent is not None and best.parent.tag not in ("#root", "html"):
+        best = best.parent
     for node in (best, *best.above()):
         if node.tag in ("article", "main") and node.density() < 0.5:
             best = node
             break
-    keep = {id(best)}
-    threshold = max(10.0, 0.2 * worth(best))
-    if best.tag != "body" and best.parent is not None and best.tag not in ("main",):
-        for node in candidates.values():
-            if node is not best and node.parent is best.parent and node.tag == best.tag and worth(node) >= threshold and node.density() < 0.25:
-                keep.add(id(node))
+    around = {id(n) for n in best.above()} if best.tag not in ("body", "main") else set()
+    best.kept = True
+    for node in nodes[1:]:
+        if node.parent.kept:
+            node.kept = True
+        elif id(node.parent) in around and node.density() < 0.25 and id(node) not in around:
+            if best.tag == "article":
+                node.kept = node.parent is best.parent and node.tag == "article" and worth(node) >= max(10.0, least)
+            else:
+                node.kept = node.scored and worth(node) >= least or node.tag in PARTS - {"p"}
     kept = []
     for owner, text, linked in blocks:
-        chain = [owner, *owner.above()]
-        if any(id(n) in keep for n in chain):
-            kept.append(text)
-        elif owner.parent is best.parent and best.tag not in ("article", "main", "body") and _like_prose(owner, text, linked):
+        beside = best.tag not in ("article", "main", "body") and (id(owner.parent) in around or id(owner) in around)
+        if owner.kept or beside and _like_prose(owner, text, linked):
             kept.append(text)
     return "\n".join(kept)
 
 
 def _like_prose(owner: Node, text: str, linked: int) -> bool:
-    """A paragraph or heading beside the best container."""
+    """A paragraph or heading beside the best container, or text that stands bare around it."""
     if owner.tag in HEADINGS:
         return linked < 0.3 * len(text)
-    return owner.tag == "p" and (len(text) > 80 and linked < 0.25 * len(text) or linked == 0 and bool(re.search(r"[.!?]$", text)))
+    return len(text) > 80 and linked < 0.25 * len(text) or linked == 0 and bool(re.search(r"[.!?]$", text))
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """(page_id, url, text, n_chars) for every row of pages; null and empty pages give empty texts."""
+    """(page_id, url, text, n_chars) for every row of pages; null and empty pages give empty texts.
 
+    Rows that repeat a page, and rows with a null page_id, stay; columns beside these are not looked at.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             out = [main_text(x) for x in texts(batch.column("html"))]
