@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 #: Folds A-Z only; every other byte (UTF-8 continuation bytes included) stays.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
-#: Entries that a per-worker memo may hold before it is emptied.
-MEMO_ENTRIES = 400_000
+#: Entries of each of a memo's two generations, and the longest key that it keeps.
+MEMO_ENTRIES, LONGEST_KEPT = 200_000, 64
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,10 +25,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    A folder of its own is made only where the session names none (single-machine tests).
+    A folder of its own is made only where a session on one machine names none; on a cluster that is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="ruleloom-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -46,17 +48,30 @@ def written(spark: SparkSession, df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stored_bytes(table: DataFrame) -> int:
+    """Bytes of the files of a stored table."""
+    return int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 class Memo(dict):
-    """A dictionary that fills itself from ``make`` and is emptied when it gets too large."""
+    """Remembers what ``make`` gives, in two generations of at most ``most`` entries each.
+
+    Keys of over LONGEST_KEPT characters are made anew each time, so the bound on entries bounds the memory.
+    """
 
     def __init__(self, make: Callable, most: int = MEMO_ENTRIES):
         super().__init__()
-        self.make, self.most = make, most
+        self.make, self.most, self.old = make, most, {}
 
     def __missing__(self, key):
-        if len(self) >= self.most:
-            self.clear()
-        value = self[key] = self.make(key)
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(key) <= LONGEST_KEPT:
+            if len(self) >= self.most:
+                self.old = dict(self)
+                self.clear()
+            self[key] = value
         return value
 
 

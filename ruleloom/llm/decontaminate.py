@@ -1,19 +1,23 @@
 """Benchmark decontamination by templates.
 
-Texts become sequences of tokens in which numbers, names (capitalised words inside a sentence) and
-units (unit words after a number) are typed placeholders; other words are lower-cased. A capitalised
-word that opens a sentence may be a name or not, so it is taken both ways. Windows of
-WINDOW tokens are hash-joined with those of the benchmark, whose side is broadcast in blocks of
-bounded size. Windows are looked for by their exact tokens as well, so a copy of an item is found
-however few of its words are literal; an item of one word or number matches wherever that stands. Matching windows on one diagonal form a run, and
-its slots must be consistent: equal fillers on the benchmark's side have equal fillers in the document. An item leaked into a document
-if accepted runs cover at least SHARE of its tokens, so a question asked again with other numbers,
-names or units is caught, and a phrase in common is not. An excerpt of a long item is caught by a
-run of at least RUN tokens, half of them words or unchanged names.
+Texts become sequences of tokens in which numbers, names (capitalised words) and units (unit words
+after a number) are typed placeholders; other words are lower-cased. Each text is seen four ways: with
+capitalised words that open sentences as words, or as names; with all names as plain words, for copies
+in another case; and by its exact tokens, for items with few words. Windows of WINDOW tokens (a
+shorter item is one window) of documents and benchmark are joined on their hashes. A Bloom filter of
+bounded size, made of the benchmark's hashes, keeps windows that can't match out of the join.
+
+Matching windows of a document and an item on one diagonal form a run, and its slots must be
+consistent: equal fillers on the benchmark's side have equal fillers in the document. An item leaked
+into a document if accepted runs cover at least SHARE of its tokens, so a question asked again with
+other numbers, names or units is caught, and a phrase in common is not. An excerpt of a long item is
+caught by a run of at least RUN tokens, half of them words or unchanged names. Windows need
+LITERAL_SHARE of literal tokens to match with other fillers; exact copies need none.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -22,20 +26,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Memo, mix64, slices, texts
+from .common import Memo, mix64, slices, stored_bytes, texts, written
 
 WINDOW = 8
-#: Literal tokens that a window needs to match by its template, lest placeholders alone match.
-LITERALS = 4
+#: Of a window's tokens, the share that must be literal, and the fewest, for it to match by its template.
+LITERAL_SHARE, FEWEST_LITERALS = 3 / 8, 2
 SHARE = 0.6
 #: Tokens of a run that is a leak whatever its share of the item.
 RUN = 32
 #: Of a run's slots, the share that must be consistent.
 CONSISTENT = 0.8
-#: Characters of benchmark text in one broadcast block.
-BLOCK_CHARS = 8_000_000
-
-TOKEN = re.compile(r"\d+(?:[.,:]\d+)*|[^\W\d_]+|[.!?\n]")
+#: Windows of the benchmark, and bytes of their files, up to which they are sent to every executor; more are shuffled.
+BROADCAST_WINDOWS, BROADCAST_BYTES = 400_000, 32 << 20
+#: Bits of the Bloom filter for each window of the benchmark, and all of them at most (as a power of two).
+BITS_EACH, MOST_BITS = 1024, 26
+
+#: Characters of scripts that are written without spaces are tokens by themselves.
+UNSPACED = "\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\u0e00-\u0e7f"
+TOKEN = re.compile(rf"\d+(?:[.,:]\d+)*|[{UNSPACED}]|(?:(?![{UNSPACED}])[^\W\d_])+|[.!?\n]")
 UNITS = frozenset(
     "mm cm m km in inch inches ft foot feet yd yard yards mile miles mg g kg ton tons tonne tonnes oz ounce ounces lb lbs pound pounds"
     " ml l liter liters litre litres gallon gallons pint pints cup cups s sec second seconds min minute minutes h hr hour hours day days"
@@ -50,9 +58,10 @@ MASK = (1 << 60) - 1
 
 
 class Canonical:
-    """Texts as (template, filler) arrays: placeholders and words, and what stood there.
+    """Texts as (templates, filler) arrays: placeholders and words, and what stood there.
 
-    The template has two rows: capitalised words that open sentences as words, and as names.
+    The templates have three rows: capitalised words that open sentences as words; as names; and all
+    capitalised words as words.
     """
 
     def __init__(self):
@@ -84,11 +93,12 @@ class Canonical:
         starts, kind, filler = starts[word], kind[word], codes[word] >> np.uint64(3)
         after_number = np.zeros(len(kind), bool)
         after_number[1:] = kind[:-1] == NUMBER_KIND
-        template = np.stack([filler, filler])
+        template = np.stack([filler, filler, filler])
         template[:, kind == NUMBER_KIND] = NUMBER
-        template[1, kind == NAME_KIND] = NAME
-        template[0, (kind == NAME_KIND) & ~starts] = NAME
         template[:, (kind == UNIT_KIND) & after_number] = UNIT
+        name = kind == NAME_KIND
+        template[1, name] = NAME
+        template[0, name & ~starts] = NAME
         return template, filler
 
 
@@ -116,111 +126,175 @@ def enough(template: np.ndarray, size: int) -> np.ndarray:
     """Whether each window has literals enough."""
     literal = np.zeros((len(template), template.shape[1] + 1), np.int64)
     np.cumsum(~is_slot(template), axis=1, out=literal[:, 1:])
-    return literal[:, size:] - literal[:, :-size] >= min(LITERALS, size)
+    return literal[:, size:] - literal[:, :-size] >= min(size, max(FEWEST_LITERALS, math.ceil(LITERAL_SHARE * size)))
+
+
+def views(template: np.ndarray, filler: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, which of them count) of every window in each of the four ways; a way that equals one before doesn't count."""
+    words, names, plain, exact = h = hashes(np.vstack([template, filler]), size)
+    counts = np.ones(h.shape, bool)
+    counts[0] = words != exact
+    counts[1] = (names != exact) & (names != words)
+    counts[2] = (plain != exact) & (plain != words) & (plain != names)
+    h[3] = exact ^ EXACT
+    return h, counts
+
+
+# ---- the benchmark ----------------------------------------------------------------------------
 
+#: What a token is, for the check of slots: a slot if it opens a sentence as a word, as a name, and a number or unit.
+SLOT, NAME_SLOT, MEASURE = 1, 2, 4
+WINDOWS = "hash long, entry long, place int, size int, n_tokens int, fillers binary, flags binary"
 
-class Bench:
-    """A block of benchmark items, indexed by window hash. Items with the same tokens share one entry."""
 
-    def __init__(self, items: list[tuple[int, str]]):
+def benchmark_windows(items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(windows, (item_id, entry)): the windows of every text; items with the same tokens share an entry."""
+    import xxhash
+
+    def entry_of(template: np.ndarray, filler: np.ndarray) -> int:
+        return xxhash.xxh3_64_intdigest(template.tobytes() + filler.tobytes()) - (1 << 63)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         canonical = Canonical()
-        same: dict[tuple[bytes, bytes], list[int]] = {}
-        for item, text in items:
-            template, filler = canonical(text or "")
-            if len(filler):
-                same.setdefault((template.tobytes(), filler.tobytes()), []).append(item)
-        self.items = [sorted(v) for v in same.values()]
-        self.template = [np.frombuffer(t, np.uint64).reshape(2, -1) for t, _ in same]
-        self.filler = [np.frombuffer(f, np.uint64) for _, f in same]
-        found, owner, place = [], [], []
-        for k, (template, filler) in enumerate(zip(self.template, self.filler, strict=True)):
-            # a text shorter than a window is one window
-            size = min(WINDOW, len(filler))
-            words, names, exact = hashes(np.vstack([template, filler]), size)
-            # a window without slots is found by its exact tokens alone
-            slots = enough(template, size) & np.stack([words != exact, names != words])
-            for h, at in ((words, np.flatnonzero(slots[0])), (names, np.flatnonzero(slots[1])), (exact ^ EXACT, np.arange(len(exact)))):
-                found.append(h[at])
-                owner.append(np.full(len(at), k))
-                place.append(at)
-        h = np.concatenate(found) if found else np.empty(0, np.uint64)
-        order = np.argsort(h, kind="stable")
-        self.hash = h[order]
-        self.owner = np.concatenate(owner)[order] if found else np.empty(0, np.int64)
-        self.place = np.concatenate(place)[order] if found else np.empty(0, np.int64)
-        self.sizes = sorted({len(f) for f in self.filler if len(f) < WINDOW})
-        bits = max(16, min(26, int(np.ceil(np.log2(max(1, len(self.hash)) * 64)))))
-        self.shift = np.uint64(64 - bits)
-        self.maybe = np.zeros(1 << bits, bool)
-        self.maybe[(self.hash >> self.shift).astype(np.int64)] = True
-
-    def matches(self, template: np.ndarray, filler: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(place in the document, entry, place in the entry, window size) of every window in common, by entry and diagonal."""
-        out = []
-        rows = np.vstack([template, filler])
-        for size in [*self.sizes, WINDOW]:
-            if rows.shape[1] < size:
-                continue
-            h = hashes(rows, size)
-            h[2] ^= EXACT
-            maybe = self.maybe[(h >> self.shift).astype(np.int64)]
-            maybe[1] &= h[1] != h[0]
-            way, at = np.nonzero(maybe)
-            h = h[way, at]
-            low = np.searchsorted(self.hash, h, "left")
-            many = np.searchsorted(self.hash, h, "right") - low
-            at, low, many = at[many > 0], low[many > 0], many[many > 0]
-            if len(at):
-                hits = np.repeat(low, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-                out.append((np.repeat(at, many), self.owner[hits], self.place[hits], np.full(len(hits), size)))
-        if not out:
-            return (np.empty(0, np.int64),) * 4
-        at, owner, place, size = (np.concatenate([o[k] for o in out]) for k in range(4))
-        order = np.lexsort((place, at - place, owner))
-        at, owner, place, size = at[order], owner[order], place[order], size[order]
-        # a window that matches in several ways counts once
-        new = np.ones(len(at), bool)
-        new[1:] = (owner[1:] != owner[:-1]) | (at[1:] != at[:-1]) | (place[1:] != place[:-1])
-        return at[new], owner[new], place[new], size[new]
-
-    def leaks(self, template: np.ndarray, filler: np.ndarray, share: float, run: int = RUN) -> list[tuple[int, int, float, int, int]]:
-        """(item, windows, covered share, slots, changed slots) of the items found in a document."""
-        at, owner, place, size = self.matches(template, filler)
-        if not len(at):
-            return []
-        diagonal = at - place
-        cut = np.flatnonzero(
-            (owner[1:] != owner[:-1]) | (diagonal[1:] != diagonal[:-1]) | (place[1:] > place[:-1] + size[:-1])
-        ) + 1
-        found: dict[int, list] = {}
-        for a, b in zip([0, *cut], [*cut, len(at)], strict=True):
-            entry = int(owner[a])
-            covered = np.zeros(len(self.filler[entry]), bool)
-            for p, s in zip(place[a:b], size[a:b], strict=True):
-                covered[p : p + s] = True
-            words, names = is_slot(self.template[entry])
-            slots = np.flatnonzero(covered & names)
-            # a sentence's first word is a slot if it changed
-            slots = slots[words[slots] | (self.filler[entry][slots] != filler[slots + diagonal[a]])]
-            ours, theirs = self.filler[entry][slots], filler[slots + diagonal[a]]
-            agrees = consistency(ours, theirs)
-            if len(slots) and agrees < CONSISTENT * len(slots):
-                continue
-            got = found.setdefault(entry, [0, np.zeros(len(covered), bool), 0, 0, False])
-            got[0] += b - a
-            got[1] |= covered
-            got[2] += len(slots)
-            got[3] += int((ours != theirs).sum())
-            same = self.filler[entry][covered] == filler[np.flatnonzero(covered) + diagonal[a]]
-            kinds = self.template[entry][0, covered]
-            told = same & (kinds != NUMBER) & (kinds != UNIT)
-            got[4] |= len(same) >= run and 2 * int(told.sum()) >= len(same)
-        return [
-            (item, int(n), float(covered.mean()), slots, changed)
-            for entry, (n, covered, slots, changed, long) in found.items()
-            if long or covered.mean() >= share
-            for item in self.items[entry]
-        ]
+        for batch in slices(batches, 64):
+            rows = []
+            for item, text in zip(batch.column("item_id").to_pylist(), texts(batch.column("text")), strict=True):
+                template, filler = canonical(text)
+                n = len(filler)
+                if not n:
+                    continue
+                entry, size = entry_of(template, filler), min(WINDOW, n)
+                words, names = is_slot(template[:2])
+                kinds = template[0]
+                flags = (words * SLOT | names * NAME_SLOT | ((kinds == NUMBER) | (kinds == UNIT)) * MEASURE).astype(np.uint8)
+                h, counts = views(template, filler, size)
+                # a window without slots is found by its exact tokens alone
+                counts[:3] &= enough(template, size)
+                for place in range(n - size + 1):
+                    part = slice(place, place + size)
+                    for k, value in enumerate(np.unique(h[counts[:, place], place])):
+                        rows.append(
+                            (int(value.view(np.int64)), entry, place, size, n, filler[part].tobytes(), flags[part].tobytes(), item, place + k == 0)
+                        )
+            columns = list(zip(*rows, strict=True)) or [[]] * 9
+            kinds = [pa.int64(), pa.int64(), *[pa.int32()] * 3, pa.binary(), pa.binary(), pa.int64(), pa.bool_()]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
+                ["hash", "entry", "place", "size", "n_tokens", "fillers", "flags", "item_id", "first"],
+            )
+
+    made = written(items.sparkSession, items.mapInArrow(run, WINDOWS + ", item_id long, first boolean"), "benchmark")
+    return made.drop("item_id", "first").dropDuplicates(["hash", "entry", "place"]), made.filter("first").select("item_id", "entry")
+
+
+def bloom(windows: DataFrame) -> tuple[np.ndarray, int]:
+    """(bits, power): a filter of 2**power bits, of 8 MB at most, with two bits for each hash of the benchmark."""
+    power = max(16, min(MOST_BITS, math.ceil(math.log2(max(1, windows.count()) * BITS_EACH))))
+    at = windows.select(F.explode(F.array(F.shiftrightunsigned("hash", 64 - power), F.col("hash").bitwiseAND(F.lit((1 << power) - 1).cast("long")))).alias("v"))
+    rows = (
+        at.groupBy(F.bitmap_bucket_number("v").alias("bucket"))
+        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("v")).alias("bits"))
+        .collect()
+    )
+    bits = np.zeros((1 << power) // 8 + 4096, np.uint8)
+    for r in rows:
+        # values from 1 on are in bucket 1, so value v has bit v - 1; value 0 has a bucket of its own
+        start = (r["bucket"] - 1) * 4096
+        own = np.frombuffer(r["bits"], np.uint8)
+        if start >= 0:
+            bits[start : start + 4096] |= own
+        else:
+            bits[-1] = 255
+    return bits, power
+
+
+def passes(h: np.ndarray, bits: np.ndarray, power: int) -> np.ndarray:
+    """Whether each hash may be the benchmark's."""
+
+    def probe(v: np.ndarray) -> np.ndarray:
+        v = v.astype(np.int64) - 1
+        found = bits[v >> 3] >> (v & 7).astype(np.uint8) & 1
+        return found.astype(bool)
+
+    out = probe(h >> np.uint64(64 - power))
+    some = np.nonzero(out)
+    out[some] = probe(h[some] & np.uint64((1 << power) - 1))
+    return out
+
+
+# ---- documents --------------------------------------------------------------------------------
+
+
+def candidate_windows(docs: DataFrame, sizes: list[int], bits: np.ndarray, power: int) -> DataFrame:
+    """(row, doc_id, hash, at, size, own): the windows of every text that pass the filter, with their fillers.
+
+    ``row`` tells documents apart, as doc_ids may be null or repeated.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        canonical, filter_ = Canonical(), shared.value
+        for batch in slices(batches):
+            out, ids = [], []
+            for row, doc, text in zip(*(batch.column(c).to_pylist() for c in ("row", "doc_id")), texts(batch.column("text")), strict=True):
+                template, filler = canonical(text)
+                for size in sizes:
+                    if len(filler) < size:
+                        continue
+                    h, counts = views(template, filler, size)
+                    way, at = np.nonzero(counts & passes(h, filter_, power))
+                    if len(at):
+                        at, value = np.unique(np.stack([at, h[way, at].view(np.int64)]), axis=1)
+                        own = np.lib.stride_tricks.sliding_window_view(filler, size)[at]
+                        ids += [doc] * len(at)
+                        out.append((np.full(len(at), row), value, at, np.full(len(at), size), [x.tobytes() for x in own]))
+            columns = [np.concatenate([o[k] for o in out]) if out else np.empty(0, np.int64) for k in range(4)]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(columns[0], pa.int64()), pa.array(ids, pa.int64()), pa.array(columns[1], pa.int64()),
+                    pa.array(columns[2], pa.int32()), pa.array(columns[3], pa.int32()), pa.array([x for o in out for x in o[4]], pa.binary()),
+                ],
+                ["row", "doc_id", "hash", "at", "size", "own"],
+            )
+
+    return docs.select("row", "doc_id", "text").mapInArrow(run, "row long, doc_id long, hash long, at int, size int, own binary")
+
+
+def judged(matches: list[tuple], n_tokens: int, share: float, run: int) -> tuple[int, float, int, int] | None:
+    """(windows, covered share, slots, changed slots) of an item in a document, or None if it isn't found there.
+
+    ``matches``: (diagonal, place, size, own fillers, the item's fillers, the item's flags), sorted.
+    """
+    covered = np.zeros(n_tokens, bool)
+    n, n_slots, changed, long = 0, 0, 0, False
+    start = 0
+    while start < len(matches):
+        end = start + 1
+        while end < len(matches) and matches[end][0] == matches[start][0] and matches[end][1] <= matches[end - 1][1] + matches[end - 1][2]:
+            end += 1
+        low, high = matches[start][1], matches[end - 1][1] + matches[end - 1][2]
+        ours, theirs, flags = np.zeros(high - low, np.uint64), np.zeros(high - low, np.uint64), np.zeros(high - low, np.uint8)
+        windows = 0
+        for k, (_, place, size, own, item, kinds) in enumerate(matches[start:end]):
+            if k and place == matches[start + k - 1][1]:
+                continue  # a window that matches in several ways counts once
+            part = slice(place - low, place - low + size)
+            theirs[part], ours[part], flags[part] = np.frombuffer(own, np.uint64), np.frombuffer(item, np.uint64), np.frombuffer(kinds, np.uint8)
+            windows += 1
+        # a sentence's first word is a slot if it changed, and so is a name that another case hides
+        slots = (flags & NAME_SLOT > 0) & ((flags & SLOT > 0) | (ours != theirs))
+        start = end
+        if slots.any() and consistency(ours[slots], theirs[slots]) < CONSISTENT * int(slots.sum()):
+            continue
+        n += windows
+        covered[low:high] = True
+        n_slots += int(slots.sum())
+        changed += int((ours[slots] != theirs[slots]).sum())
+        told = (ours == theirs) & (flags & MEASURE == 0)
+        long |= high - low >= run and 2 * int(told.sum()) >= high - low
+    if not n or not (long or covered.mean() >= share):
+        return None
+    return n, float(covered.mean()), n_slots, changed
 
 
 def consistency(ours: np.ndarray, theirs: np.ndarray) -> int:
@@ -234,33 +308,62 @@ def consistency(ours: np.ndarray, theirs: np.ndarray) -> int:
     return sum(best.values())
 
 
-def leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFrame:
+def verified(matches: DataFrame, share: float, run: int) -> DataFrame:
+    """(doc_id, entry, n_windows, covered, n_slots, n_changed) of the items found, from joined windows.
+
+    Windows of one document and item come together, sorted; a group is no larger than its document.
+    """
+    parts = int(matches.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = ["row", "entry", "diagonal", "place"]
+    dealt = matches.repartition(parts, "row", "entry").sortWithinPartitions(*order)
+    schema = "doc_id long, entry long, n_windows long, covered double, n_slots long, n_changed long"
+    names = [x.split(" ")[0] for x in schema.split(", ")]
+    wanted = ["row", "entry", "doc_id", "n_tokens", "diagonal", "place", "size", "own", "fillers", "flags"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        key, doc_id, tokens = None, None, 0
+
+        def close() -> list[tuple]:
+            got = judged(held, tokens, share, run) if held else None
+            return [(doc_id, key[1], *got)] if got else []
+
+        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+            columns = list(zip(*rows, strict=True)) or [[]] * len(names)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
+
+        for batch in batches:
+            done = []
+            columns = [batch.column(c).to_pylist() for c in wanted]
+            for row, entry, doc, n, *match in zip(*columns, strict=True):
+                if (row, entry) != key:
+                    done += close()
+                    key, doc_id, tokens, held = (row, entry), doc, n, []
+                held.append(tuple(match))
+            yield batch_of(done)
+        yield batch_of(close())
+
+    return dealt.select(*wanted).mapInArrow(check, schema)
+
+
+def leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, share: float = SHARE, run: int = RUN) -> DataFrame:
     """(doc_id, item_id, n_windows, covered, n_slots, n_changed): every document with every item found in it.
 
-    Null and empty texts on either side match nothing; items without words neither. Repeated items
-    and repeated documents give rows of their own.
+    Null and empty texts on either side match nothing; items without words neither, so an empty
+    benchmark or an empty table gives no rows. Repeated items and repeated documents give rows of
+    their own, and so do rows with a null doc_id or item_id, which stay null. Other columns are not looked at.
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    own = own.withColumn("row", F.monotonically_increasing_id())
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).dropna(subset=["text"])
-    chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = max(1, -(-chars // BLOCK_CHARS))
-    schema = "doc_id long, item_id long, n_windows long, covered double, n_slots long, n_changed long"
-    out = None
-    for k in range(blocks):
-        part = items.filter(F.pmod(F.xxhash64("text"), F.lit(blocks)) == k)
-        bench = spark.sparkContext.broadcast(Bench([(r["item_id"], r["text"]) for r in part.collect()]))
-
-        def run(batches: Iterator[pa.RecordBatch], bench=bench) -> Iterator[pa.RecordBatch]:
-            canonical, index = Canonical(), bench.value
-            for batch in slices(batches):
-                rows = []
-                for doc, text in zip(batch.column("doc_id").to_pylist(), texts(batch.column("text")), strict=True):
-                    rows += [(doc, *x) for x in index.leaks(*canonical(text), share)]
-                columns = list(zip(*rows, strict=True)) or [[]] * 6
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
-                names = ["doc_id", "item_id", "n_windows", "covered", "n_slots", "n_changed"]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
-
-        found = own.mapInArrow(run, schema)
-        out = found if out is None else out.unionByName(found)
-    return out
+    windows, named = benchmark_windows(items)
+    windows, named = written(spark, windows, "windows"), written(spark, named, "items")
+    # an item shorter than a window is one window: seven sizes at most
+    sizes = sorted(r["size"] for r in windows.select("size").distinct().collect())
+    bits, power = bloom(windows)
+    found = written(spark, candidate_windows(own, sizes, bits, power), "candidates")
+    small = windows.count() <= BROADCAST_WINDOWS and stored_bytes(windows) <= BROADCAST_BYTES
+    matches = found.join(F.broadcast(windows) if small else windows, ["hash", "size"]).withColumn("diagonal", F.col("at") - F.col("place"))
+    hits = written(spark, verified(matches, share, run), "hits")
+    return hits.join(named, "entry").select("doc_id", "item_id", "n_windows", "covered", "n_slots", "n_changed")

@@ -26,21 +26,21 @@ import json
 import os
 import re
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import scratch, slices, texts, written
+from .common import Memo, scratch, slices, texts, written
 
 CODE_LIMIT = 16
 CHECKPOINT_IDS = 256
 BLOCK_IDS = 1 << 18
 END_ID = 2
-#: Pieces of text that a worker remembers in each of two generations, and the longest of them.
-PIECES_KEPT, LONGEST_KEPT = 400_000, 64
+#: Words that a worker remembers in each of two generations.
+PIECES_KEPT = 400_000
 #: Bytes of a document's ids that deal rows of one doc_id to several tasks.
 PREFIX_BYTES = 16
 
@@ -143,28 +143,6 @@ class Codebook:
 # ---- tokenizing -----------------------------------------------------------------------------
 
 
-class PieceMemo(dict):
-    """Remembers what ``make`` gives for short pieces, in two generations of at most ``most`` entries each.
-
-    Pieces of over LONGEST_KEPT characters are made anew each time, so the bound on entries bounds the memory.
-    """
-
-    def __init__(self, make: Callable, most: int = PIECES_KEPT):
-        super().__init__()
-        self.make, self.most, self.old = make, most, {}
-
-    def __missing__(self, key):
-        value = self.old.get(key)
-        if value is None:
-            value = self.make(key)
-        if len(key) <= LONGEST_KEPT:
-            if len(self) >= self.most:
-                self.old = dict(self)
-                self.clear()
-            self[key] = value
-        return value
-
-
 #: Lower-cases Latin-1 and makes its two spaces beyond ASCII plain ones.
 LATIN_LOWER = bytes(
     32 if b in (0x85, 0xA0) else b + 32 if 65 <= b <= 90 or 0xC0 <= b <= 0xDE and b != 0xD7 else b for b in range(256)
@@ -215,7 +193,7 @@ def word_encoder(tokenizer_json: str, width: str):
     def word_ids(word: str) -> bytes:
         return array.array(kind, tok.encode(word, add_special_tokens=False).ids).tobytes()
 
-    latin, words = PieceMemo(latin_ids), PieceMemo(word_ids, PIECES_KEPT // 4)
+    latin, words = Memo(latin_ids, PIECES_KEPT), Memo(word_ids, PIECES_KEPT // 4)
     # str.split() also cuts at four controls which the tokenizer keeps as symbols
     plain = re.compile(f"[^{SPACE}]+")
 

@@ -135,3 +135,87 @@ def groups(docs: dict[int, str | None], size: int, percent: int) -> dict[int, in
                 x, y = find(a), find(b)
                 parent[max(x, y)] = min(x, y)
     return {d: find(d) for d in docs}
+
+
+# ---- op6 ----
+
+
+def leak_tokens(text: str | None, units: frozenset) -> list[tuple[str, str, bool]]:
+    """(kind, lower-cased token, whether it opens a sentence) of a text's tokens."""
+    unspaced = "\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\u0e00-\u0e7f"
+    out, opens = [], True
+    for m in re.finditer(rf"\d+(?:[.,:]\d+)*|[{unspaced}]|[^\W\d_{unspaced}]+|[.!?\n]", text or ""):
+        x = m.group()
+        if x in ".!?\n":
+            opens = True
+            continue
+        if x[0].isdigit():
+            kind = "number"
+        elif x[0].isupper() and len(x) > 1 and not x.isupper():
+            kind = "name"
+        elif x.lower() in units and out and out[-1][0] == "number" and not opens:
+            kind = "unit"
+        else:
+            kind = "word"
+        out.append((kind, x.lower(), opens))
+        opens = False
+    return out
+
+
+def leak_views(tokens: list) -> list[list[str]]:
+    """The four ways a token sequence is seen."""
+    mark = lambda kinds, t: f"<{t[0]}>" if t[0] in kinds else t[1]
+    return [
+        [t[1] if t[0] == "name" and t[2] else mark(("number", "unit", "name"), t) for t in tokens],
+        [mark(("number", "unit", "name"), t) for t in tokens],
+        [mark(("number", "unit"), t) for t in tokens],
+        [t[1] for t in tokens],
+    ]
+
+
+def leaks(docs: list, items: list, units: frozenset, window: int, share: float, run: int, consistent: float) -> set:
+    """(doc_id, item_id) by comparing every window of every document with every window of every item."""
+    found = set()
+    seen_docs = [(d, t, leak_views(t)) for d, t in ((d, leak_tokens(x, units)) for d, x in docs)]
+    for item_id, item_text in items:
+        item = leak_tokens(item_text, units)
+        if not item:
+            continue
+        size, n = min(window, len(item)), len(item)
+        views = leak_views(item)
+        least = min(size, max(2, math.ceil(3 / 8 * size)))
+        for doc_id, doc, doc_views in seen_docs:
+            places = set()
+            for a in range(len(doc) - size + 1):
+                for b in range(n - size + 1):
+                    for way, (x, y) in enumerate(zip(doc_views, views, strict=True)):
+                        w = y[b : b + size]
+                        if x[a : a + size] == w and (way == 3 or sum(not (t.startswith("<")) for t in w) >= least):
+                            places.add((a - b, b))
+            covered, long = set(), False
+            for diagonal in {d for d, _ in places}:
+                at = sorted(b for d, b in places if d == diagonal)
+                runs = [[at[0]]]
+                for b in at[1:]:
+                    if b > runs[-1][-1] + size:
+                        runs.append([b])
+                    else:
+                        runs[-1].append(b)
+                for r in runs:
+                    span = range(r[0], r[-1] + size)
+                    slots = []
+                    for k in span:
+                        kind, word, opens = item[k]
+                        if views[1][k].startswith("<") and (views[0][k].startswith("<") or word != doc[k + diagonal][1]):
+                            slots.append((word, doc[k + diagonal][1]))
+                    best: dict = {}
+                    for pair in set(slots):
+                        best[pair[0]] = max(best.get(pair[0], 0), slots.count(pair))
+                    if slots and sum(best.values()) < consistent * len(slots):
+                        continue
+                    covered |= set(span)
+                    told = sum(item[k][1] == doc[k + diagonal][1] and item[k][0] not in ("number", "unit") for k in span)
+                    long |= len(span) >= run and 2 * told >= len(span)
+            if covered and (long or len(covered) / n >= share):
+                found.add((doc_id, item_id))
+    return found

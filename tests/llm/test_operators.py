@@ -197,50 +197,105 @@ def test_decontamination(spark):
     items = spark.createDataFrame([(1, item), (2, None), (3, ""), (4, item), (5, "short one")], "item_id long, text string")
     got = sorted((r["doc_id"], r["item_id"]) for r in decontaminate.leaks(spark, docs, items).collect())
     assert got == [(d, i) for d in (0, 1, 5, 6) for i in (1, 4)]
-    mixed = item.replace("Maria", "Peter", 1).replace("12 apples", "5 apples")
-    bench = decontaminate.Bench([(1, "Ann gives Ben 3 nuts, Ann gives Ben 3 nuts, Ann gives Ben 3 nuts")])
-    canonical = decontaminate.Canonical()
-    assert bench.leaks(*canonical("so Kim gives Lou 5 nuts, Kim gives Lou 5 nuts, Kim gives Lou 5 nuts"), 0.5)
-    assert not bench.leaks(*canonical("so Kim gives Lou 5 nuts, Max gives Moe 6 nuts, Pat gives Sam 7 nuts"), 0.5)
-    assert mixed and decontaminate.leaks(spark, empty(spark), items).count() == 0
+    assert decontaminate.leaks(spark, empty(spark), items).count() == 0
+    assert decontaminate.leaks(spark, docs, items.limit(0)).count() == 0
 
 
-def test_decontamination_of_items_with_few_literals():
+def found_in(spark, texts, items):
+    """[{item: row}] for each text, with items numbered from 0."""
+    bench = spark.createDataFrame([(k, x) for k, x in enumerate(items)], "item_id long, text string")
+    out = [{} for _ in texts]
+    for r in decontaminate.leaks(spark, documents(spark, texts), bench).collect():
+        out[r["doc_id"]][r["item_id"]] = r
+    return out
+
+
+def test_decontamination_of_slots_that_disagree(spark):
+    items = ["Ann gives Ben 3 nuts, Ann gives Ben 3 nuts, Ann gives Ben 3 nuts"]
+    texts = ["so Kim gives Lou 5 nuts, Kim gives Lou 5 nuts, Kim gives Lou 5 nuts", "so Kim gives Lou 5 nuts, Max gives Moe 6 nuts, Pat gives Sam 7 nuts"]
+    assert [set(x) for x in found_in(spark, texts, items)] == [{0}, set()]
+
+
+def test_decontamination_of_items_with_few_literals(spark):
     items = [
         "What is 48 plus 76?", "12 + 7 = 19, 3 + 4 = 7, 20 + 5 = 25, 6 + 6 = 12", "1 2 3 4 5 6 7 8 9 10 11 12",
-        "Which City Hosted The Summer Olympics In 1996? Atlanta", "Paris", "7 8",
+        "Which City Hosted The Summer Olympics In 1996? Atlanta", "Paris", "7 8", "Compute 3 + 4 * 5 - 6 / 2 = 20", "What is 7 times 8?",
     ]
-    bench, canonical = decontaminate.Bench(list(enumerate(items))), decontaminate.Canonical()
-    for k, item in enumerate(items):
-        for text in (item, f"we asked: {item} and so on", f"First. {item}\nNext"):
-            found = {x[0]: x for x in bench.leaks(*canonical(text), decontaminate.SHARE)}
-            assert k in found and found[k][4] == 0, text
-    assert not bench.leaks(*canonical("What is 48 minus 75? 12 + 8 = 20, 3 + 5 = 8, 20 + 6 = 26. Which Town Has The Winter Games In 1998? Turin"), decontaminate.SHARE)
+    texts = [x for item in items for x in (item, f"we asked: {item} and so on", f"First. {item}\nNext", f"甲乙{item}丙")]
+    clean = "What can 48 minus 75 be? 12 + 8 = 20, 3 + 5 = 8, 20 + 6 = 26. Which Town Has The Winter Games In 1998? Turin"
+    found = found_in(spark, [*texts, clean, "What is 12 plus 30?"], items)
+    for k, _ in enumerate(items):
+        for j in range(4):
+            assert k in found[4 * k + j] and found[4 * k + j][k]["n_changed"] == 0, texts[4 * k + j]
+    assert not found[-2] and set(found[-1]) == {0}
+
+
+def test_decontamination_of_other_scripts_and_cases(spark):
+    items = ["小明有12个苹果,他又买了5个苹果,请问小明现在一共有多少个苹果?", "If Maria has 12 apples and buys 30 kg of pears in Boston, how many apples does Maria have left?"]
+    texts = ["题目小明有7个苹果,他又买了9个苹果,请问小明现在一共有多少个苹果?答案", items[1].lower(), items[1].upper(), "if maria has 5 apples and buys 9 kg of pears in boston, how many apples does maria have left? ok", "中文" + items[1] + "中文"]
+    assert [set(x) for x in found_in(spark, texts, items)] == [{0}, {1}, {1}, {1}, {1}]
 
 
-def test_decontamination_of_names_that_open_sentences():
+def test_decontamination_of_names_that_open_sentences(spark):
     item = "Tom has 12 red marbles. Tom buys 5 more marbles. Tom loses 3 marbles at school. Anna gives Tom 4 marbles. How many marbles does Tom have now?"
     again = "Peter has 7 red marbles. Peter buys 9 more marbles. Peter loses 2 marbles at school. Lucy gives Peter 6 marbles. How many marbles does Peter have now?"
-    bench, canonical = decontaminate.Bench([(1, item)]), decontaminate.Canonical()
-    for text in (again, f"Question: {again}", f"so {again} Ok", item, item.lower()):
-        (found,) = bench.leaks(*canonical(text), decontaminate.SHARE)
-        assert found[2] > 0.99, text
-    assert not bench.leaks(*canonical("Peter has 7 blue cars. Lucy buys 9 more of them. Anna loses 2 cars at home. Who has the most cars now?"), decontaminate.SHARE)
     mixed = again.replace("Peter", "Max", 1).replace("Peter", "Kim", 1).replace("Peter", "Jo", 1)
-    assert not bench.leaks(*canonical(mixed), decontaminate.SHARE)
+    clean = "Peter has 7 blue cars. Lucy buys 9 more of them. Anna loses 2 cars at home. Who has the most cars now?"
+    found = found_in(spark, [again, f"Question: {again}", f"so {again} Ok", item, item.lower(), clean, mixed], [item])
+    assert all(x[0]["covered"] > 0.99 for x in found[:5]) and not found[5] and not found[6]
 
 
-def test_decontamination_of_excerpts():
+def test_decontamination_of_excerpts(spark):
     r = random.Random(8)
     words = ["".join(r.choice("abcdefghijkl") for _ in range(r.randint(3, 8))) for _ in range(300)]
     passage = [r.choice(words) for _ in range(160)]
     question = "what did the writer of this passage most likely want the reader to learn about the old harbour and about the people who had worked there for so many years before it closed".split()
-    bench, canonical = decontaminate.Bench([(1, " ".join(passage + question)), (2, " ".join(map(str, range(200))))]), decontaminate.Canonical()
-    for part in (passage[:100], question, passage[60:60 + decontaminate.RUN]):
-        (found,) = bench.leaks(*canonical("we read: " + " ".join(part) + " and more of it"), decontaminate.SHARE)
-        assert found[0] == 1 and found[2] < 0.6
-    for part in (passage[:decontaminate.RUN - 1], map(str, range(60))):
-        assert not bench.leaks(*canonical("we read: " + " ".join(part) + " and more of it"), decontaminate.SHARE)
+    items = [" ".join(passage + question), " ".join(map(str, range(200)))]
+    parts = [passage[:100], question, passage[60:60 + decontaminate.RUN], passage[: decontaminate.RUN - 1], map(str, range(60))]
+    found = found_in(spark, ["we read: " + " ".join(x) + " and more of it" for x in parts], items)
+    assert all(set(x) == {0} and x[0]["covered"] < 0.6 for x in found[:3]) and not found[3] and not found[4]
+
+
+def test_decontamination_against_brute_force(spark):
+    r = random.Random(21)
+    names, things, units = "Tom Anna Peter Lucy Maria".split(), "apples pears marbles books nuts".split(), ["kg", "miles", ""]
+
+    def item():
+        a, b, x, y = r.choice(names), r.choice(names), r.choice(things), r.choice(things)
+        n = [r.randint(2, 60) for _ in range(3)]
+        return f"{a} has {n[0]} {x} and {n[1]} {r.choice(units)} of {y}. {b} gives {a} {n[2]} {x}. How many {x} does {a} have?"
+
+    items = [item() for _ in range(25)] + ["Paris", "7 8 9", None, ""] + [item()] * 2
+    docs = [f"{item()} {item() if k % 2 else 'Something else was said here.'} {r.choice(items[:25]).lower() if k % 3 == 0 else ''}" for k in range(50)]
+    docs += [None, "", "in Paris", "at 7 8 9 am", items[0], items[0]]
+    got = decontaminate.leaks(
+        spark, documents(spark, docs), spark.createDataFrame([(k, x) for k, x in enumerate(items)], "item_id long, text string")
+    )
+    want = brute.leaks(
+        list(enumerate(docs)), list(enumerate(items)), decontaminate.UNITS, decontaminate.WINDOW, decontaminate.SHARE, decontaminate.RUN, decontaminate.CONSISTENT
+    )
+    pairs = [(x["doc_id"], x["item_id"]) for x in got.collect()]
+    assert len(pairs) == len(set(pairs)) and set(pairs) == want and len(want) > 50
+
+
+def test_decontamination_of_odd_tables(spark, monkeypatch):
+    item = "If Maria has 12 apples and buys 30.5 kg of pears in Boston, how many apples does Maria have left?"
+    rows = [(None, item, "x"), (None, item, None), (3, item, "y"), (3, item, "y"), (4, None, "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, item_id string")
+    items = spark.createDataFrame([(None, item, 1), (5, item, 2), (5, item, 2)], "item_id long, text string, doc_id int")
+    want = sorted([(d, i) for d in (None, None, 3, 3) for i in (None, 5, 5)], key=repr)
+    for few in (400_000, 0):
+        monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", few)
+        assert sorted([(x["doc_id"], x["item_id"]) for x in decontaminate.leaks(spark, docs, items).collect()], key=repr) == want
+
+
+def test_bloom_filter(spark):
+    r = np.random.default_rng(3)
+    own = r.integers(0, 1 << 64, 500, dtype=np.uint64)
+    own[:3] = [0, (1 << 64) - 1, 1 << 40]
+    bits, power = decontaminate.bloom(spark.createDataFrame([(int(x.view(np.int64)),) for x in own], "hash long"))
+    other = r.integers(0, 1 << 64, 100_000, dtype=np.uint64)
+    assert decontaminate.passes(own.reshape(4, -1), bits, power).all() and decontaminate.passes(other, bits, power).mean() < 0.001
 
 
 def near_copies(seed: int, n: int) -> list[str]:
