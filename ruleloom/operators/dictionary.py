@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.terms import FIRST_OTHER, FIRST_POPULAR, MOST_POPULAR, standard_terms
 from ..model import SPO
-from ..sources.lineage import written
+from ..sources.lineage import fits, written
 from .triples import count_terms
 
 #: Dictionary rows that may be sent to every executor at most.
@@ -48,11 +48,11 @@ def ranked(terms: DataFrame, first: int) -> DataFrame:
     )
 
 
-def popular_terms(triples: DataFrame, threshold: int, fraction: float = 1.0, seed: int = 7) -> DataFrame:
+def popular_terms(triples: DataFrame, threshold: int, fraction: float = 1.0) -> DataFrame:
     """(id, term, n): at most MOST_POPULAR terms that occur more often than the threshold, standard ones excluded."""
     spark = triples.sparkSession
     common = (
-        count_terms(triples, fraction, seed)
+        count_terms(triples, fraction)
         .join(F.broadcast(standard_terms(spark).select("term")), "term", "left_anti")
         .filter(F.col("n") > threshold)
         .orderBy(F.col("n").desc(), "term")
@@ -71,39 +71,72 @@ def high_water(dictionary: DataFrame) -> int:
 def build(triples: DataFrame, existing: DataFrame | None = None, threshold: int | None = None, fraction: float = 1.0) -> DataFrame:
     """The dictionary (id, term) of the triples: ``existing`` and new ids for terms that it lacks.
 
-    Popular ids are given out only to a first dictionary, from ``threshold``.
+    Popular ids are given out only to a first dictionary, to terms that occur more than ``threshold``
+    times in a sample of ``fraction``.
     """
     spark = triples.sparkSession
     base = standard_terms(spark) if existing is None else existing.select("id", "term")
     if existing is None and threshold is not None:
         base = base.unionByName(popular_terms(triples, threshold, fraction).select("id", "term"))
         base = written(base, "dictionary")
-    first = FIRST_OTHER if existing is None else high_water(base)
-    fresh = all_terms(triples).dropna().join(base, "term", "left_anti")
-    return base.unionByName(ranked(fresh, first))
+    return base.unionByName(grown(triples, base))
 
 
-def _joined(triples: DataFrame, dictionary: DataFrame, key: str, value: str) -> DataFrame:
-    """Each position looked up; predicates, which are few and skewed, by broadcast if they are few indeed."""
-    out = triples
+def grown(triples: DataFrame, base: DataFrame) -> DataFrame:
+    """(id, term) for the terms that the dictionary ``base`` lacks."""
+    return ranked(all_terms(triples).dropna().join(base, "term", "left_anti"), high_water(base))
+
+
+def popular_ids(triples: DataFrame, threshold: int, fraction: float = 1.0) -> DataFrame:
+    """(id, n): at most MOST_POPULAR ids that occur at least ``threshold`` times in a sample of the triples."""
+    counts = count_terms(triples, fraction).filter(F.col("n") >= threshold)
+    return counts.orderBy(F.col("n").desc(), "term").limit(MOST_POPULAR).select(F.col("term").alias("id"), "n")
+
+
+def texts_of_ids(dictionary: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, term) of the given ids (a few)."""
+    return dictionary.join(F.broadcast(ids.select("id")), "id", "left_semi").select("id", "term")
+
+
+def _joined(triples: DataFrame, dictionary: DataFrame, key: str, value: str, popular: DataFrame) -> DataFrame:
+    """Each position looked up.
+
+    ``popular`` rows, of which there are at most FIRST_OTHER + MOST_POPULAR, are broadcast, and what
+    they answer has no part in a shuffle by term: its key is replaced by one of many that no term has.
+    Predicates, which are few and skewed, are broadcast too if they are few indeed.
+    """
+    near = written(popular.select(key, value).distinct(), "popular")
+    rest = dictionary.join(F.broadcast(near.select(key)), key, "left_anti")
+    spread = F.pmod(F.xxhash64(*SPO), F.lit(1 << 20))
+    nothing = F.concat(F.lit("\0"), spread.cast("string")) if key == "term" else -2 - spread
+    out = triples.withColumn("_spread", nothing)
+    used = written(rest.join(triples.select(F.col("p").alias(key)).distinct(), key, "left_semi").select(key, value), "predicates")
     for c in ("p", "s", "o"):
-        names = dictionary.select(F.col(key).alias(c), F.col(value).alias(f"_{c}"))
-        if c == "p":
-            used = written(names.join(triples.select("p").distinct(), "p", "left_semi"), "predicates")
-            names = F.broadcast(used) if used.count() <= BROADCAST_TERMS else used
-        out = out.join(names, c, "left").drop(c)
-    rest = [c for c in triples.columns if c not in SPO]
-    return out.select(*[F.col(f"_{c}").alias(c) for c in SPO], *rest)
+        out = out.join(F.broadcast(near.select(F.col(key).alias(c), F.col(value).alias(f"_near_{c}"))), c, "left")
+        names = (used if c == "p" else rest).select(F.col(key).alias("_key"), F.col(value).alias(f"_far_{c}"))
+        if c == "p" and fits(used, BROADCAST_TERMS):
+            names = F.broadcast(names)
+        out = out.withColumn("_key", F.when(F.col(f"_near_{c}").isNull() & F.col(c).isNotNull(), F.col(c)).otherwise(F.col("_spread")))
+        out = out.join(names, "_key", "left").drop("_key")
+    rest_of = [c for c in triples.columns if c not in SPO]
+    return out.select(*[F.coalesce(f"_near_{c}", f"_far_{c}").alias(c) for c in SPO], *rest_of)
 
 
 def encode(triples: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """Text triples as ids; a term that the dictionary lacks becomes null."""
-    return _joined(triples, dictionary, "term", "id")
+    """Text triples as ids; a term that the dictionary lacks, and null, become null. Standard and popular terms don't shuffle."""
+    return _joined(triples, dictionary, "term", "id", dictionary.filter(F.col("id") < FIRST_OTHER))
 
 
-def decode(triples: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """Triples of ids as text; an unknown id becomes null."""
-    return _joined(triples, dictionary, "id", "term")
+def decode(triples: DataFrame, dictionary: DataFrame, threshold: int | None = None, fraction: float = 1.0) -> DataFrame:
+    """Triples of ids as text; an unknown id and null become null.
+
+    Standard and popular ids don't shuffle; with ``threshold`` neither do ids that occur as often in a
+    sample of ``fraction``.
+    """
+    popular = dictionary.filter(F.col("id") < FIRST_OTHER)
+    if threshold is not None:
+        popular = popular.unionByName(texts_of_ids(dictionary, popular_ids(triples, threshold, fraction)))
+    return _joined(triples, dictionary, "id", "term", popular)
 
 
 def lookup(dictionary: DataFrame, requests: DataFrame) -> DataFrame:
@@ -121,8 +154,8 @@ def ids_of(dictionary: DataFrame, terms: list[str]) -> dict[str, int]:
     return {r["term"]: r["id"] for r in dictionary.filter(F.col("term").isin(terms)).collect()}
 
 
-def compress(spark: SparkSession, triples: DataFrame, existing: DataFrame | None = None, threshold: int | None = None) -> tuple[DataFrame, DataFrame]:
+def compress(spark: SparkSession, triples: DataFrame, existing: DataFrame | None = None, threshold: int | None = None, fraction: float = 1.0) -> tuple[DataFrame, DataFrame]:
     """(encoded distinct triples, dictionary)."""
     text = written(triples.select(*SPO).distinct(), "text")
-    dictionary = written(build(text, existing, threshold), "dictionary")
+    dictionary = written(build(text, existing, threshold, fraction), "dictionary")
     return encode(text, dictionary), dictionary

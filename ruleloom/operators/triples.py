@@ -43,25 +43,20 @@ def bindings(triples: DataFrame, atom: Atom) -> DataFrame:
 
 
 def answer_patterns(triples: DataFrame, queries: DataFrame) -> DataFrame:
-    """(qid, s, p, o) for a table of patterns, -1 for any: one join for each shape that occurs.
+    """(qid, s, p, o) for a table of patterns, -1 for any.
 
-    A shape's bound columns are the join's keys, so each shape is an equi-join.
+    A pattern is its own key: each triple, read once, is looked up with its values blanked as in each
+    shape that occurs among the queries (at most eight), in one equi-join.
     """
-    found = []
     any_ = F.lit("-1").cast(queries.schema["s"].dataType)
-    for bits in range(8):
-        bound = [c for k, c in enumerate(SPO) if bits >> k & 1]
-        shape = reduce(
-            lambda a, b: a & b, [(F.col(c) != any_) if c in bound else (F.col(c) == any_) for c in SPO]
-        )
-        own = queries.filter(shape).select("qid", *bound)
-        if bound:
-            found.append(triples.join(own, bound).select("qid", *SPO))
-        else:
-            # every triple for each such query: the queries travel as one array
-            every = own.agg(F.collect_list("qid").alias("q"))
-            found.append(triples.select(*SPO).join(F.broadcast(every)).select(F.explode("q").alias("qid"), *SPO))
-    return reduce(DataFrame.unionByName, found)
+    bits = sum((F.when(F.col(c) == any_, 0).otherwise(1 << k) for k, c in enumerate(SPO)), F.lit(0))
+    shapes = sorted(r[0] for r in queries.select(bits.alias("b")).distinct().collect())
+    keys = [F.struct(*[(F.col(c) if b >> k & 1 else any_).alias(f"_{c}") for k, c in enumerate(SPO)]) for b in shapes]
+    if not keys:
+        return triples.limit(0).select(F.lit(None).cast(queries.schema["qid"].dataType).alias("qid"), *SPO)
+    asked = queries.select("qid", *[F.col(c).alias(f"_{c}") for c in SPO])
+    looked = triples.select(*SPO, F.explode(F.array(*keys)).alias("_k")).select(*SPO, "_k.*")
+    return looked.join(asked, [f"_{c}" for c in SPO]).select("qid", *SPO)
 
 
 def filter_step(triples: DataFrame, least: int) -> DataFrame:
@@ -79,15 +74,6 @@ def schema_filter_rules(triples: DataFrame, atoms: list[Atom]) -> DataFrame:
     return triples.filter(reduce(lambda a, b: a | b, [matches(a) for a in atoms]))
 
 
-def swap(pairs: DataFrame) -> DataFrame:
-    a, b = pairs.columns
-    return pairs.select(F.col(b), F.col(a))
-
-
-def anything(df: DataFrame) -> bool:
-    return not df.isEmpty()
-
-
 def replace_steps(triples: DataFrame, former: DataFrame) -> DataFrame:
     """Steps as they were in ``former`` (s, p, o, step) for triples that it holds."""
     old = former.groupBy(*SPO).agg(F.min("step").alias("_old"))
@@ -120,10 +106,16 @@ def derivation_counts(rows: DataFrame, least: int) -> DataFrame:
     )
 
 
-def count_terms(triples: DataFrame, fraction: float = 1.0, seed: int = 7) -> DataFrame:
+def sampled(triples: DataFrame, fraction: float) -> DataFrame:
+    """The triples whose MD5 lies in the lowest ``fraction`` of all values: the same ones wherever they are read."""
+    if fraction >= 1:
+        return triples
+    return triples.filter(F.substring(F.md5(F.concat_ws(" ", *SPO)), 1, 8) < F.lit(f"{int(fraction * (1 << 32)):08x}"))
+
+
+def count_terms(triples: DataFrame, fraction: float = 1.0) -> DataFrame:
     """(term, n) over all three positions, of all triples or a sample."""
-    rows = triples if fraction >= 1 else triples.sample(fraction=fraction, seed=seed)
-    return rows.select(F.explode(F.array(*SPO)).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+    return sampled(triples, fraction).select(F.explode(F.array(*SPO)).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
 
 
 def max_step(rows: DataFrame, column: str) -> DataFrame:
@@ -144,10 +136,11 @@ def permute(triples: DataFrame) -> DataFrame:
     return triples.select(rows.alias("_t"), *extra).select("_t.*", "step", "cnt")
 
 
-def access_path(s: bool, p: bool, o: bool) -> str:
-    """The permutation whose order begins with the bound columns."""
-    want = {c for c, bound in zip("spo", (s, p, o), strict=True) if bound}
-    return next(x for x in ("spo", "pso", "osp", "ops") if set(x[: len(want)]) == want)
+def schema_join(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+    """The join of two atoms' bindings with steps: a result's step is the later of both."""
+    later = F.greatest(F.col("step"), F.col("_step")).alias("step")
+    both = left.join(right.withColumnRenamed("step", "_step"), on)
+    return both.select(*[c for c in both.columns if c not in ("step", "_step")], later)
 
 
 def acceptable(triples: DataFrame, column: str, values: DataFrame, key: str) -> DataFrame:
@@ -210,13 +203,15 @@ def sort_distinct(lines: DataFrame, column: str = "value") -> DataFrame:
 
 
 def dump(spark: SparkSession, triples: DataFrame, path: str | None = None) -> DataFrame:
-    """(line): triples of ids with short names for the commonest standard terms; written if ``path`` is given."""
-    from ..functions.terms import STANDARD_TERMS
-
-    short = {k: STANDARD_TERMS[k].rpartition("#")[2][:-1] for k in (0, 1, 2, 3, 4, 5, 20, 22, 23, 24)}
-    name = F.create_map(*[F.lit(x) for kv in short.items() for x in (int(kv[0]), kv[1])])
-    show = lambda c: F.coalesce(F.try_element_at(name, F.col(c).cast("int")), F.col(c).cast("string"))
-    lines = triples.select(F.concat_ws(" ", show("s"), show("p"), show("o"), F.col("step").cast("string")).alias("line"))
+    """(line): triples of ids with short names for standard terms; written if ``path`` is given."""
+    from ..functions.terms import standard_terms
+
+    local = F.regexp_extract("term", "#([A-Za-z]+)>?$", 1)
+    names = standard_terms(spark).select("id", local.alias("name"))
+    lines = triples
+    for c in SPO:
+        lines = lines.join(F.broadcast(names.select(F.col("id").alias(c), F.col("name").alias(f"_{c}"))), c, "left")
+    lines = lines.select(F.concat_ws(" ", *[F.coalesce(f"_{c}", F.col(c).cast("string")) for c in SPO], F.col("step").cast("string")).alias("line"))
     if path:
         lines.write.mode("append").text(path)
     return lines

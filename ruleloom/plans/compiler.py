@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..model import SPO, Atom, Rule, RuleSet, Var
 from ..operators.triples import bindings, matches, schema_filter_rules
-from ..sources.lineage import written
+from ..sources.lineage import fits, written
 
 #: Rows of schema triples up to which an atom's side is broadcast; beyond, both sides are shuffled.
 BROADCAST_ROWS = 500_000
@@ -36,7 +36,7 @@ class Source:
         self.schema = schema
         #: Counted from the files' footers unless the caller knows.
         self.schema_rows = schema_rows if schema_rows is not None else schema.count() if schema is not None else 0
-        self.few = self.schema_rows <= BROADCAST_ROWS
+        self.few = schema is not None and fits(schema, BROADCAST_ROWS, self.schema_rows)
         #: All of it may be broadcast (a delta of few rows).
         self.small = small
 
@@ -118,6 +118,38 @@ def consequences(rules: RuleSet, before: Source, delta: Source, after: Source) -
     return reduce(DataFrame.unionByName, found) if found else None
 
 
+def rederived(rules: RuleSet, source: Source, wanted: DataFrame, few: bool) -> DataFrame | None:
+    """(s, p, o): those of the wanted triples that one step of the rules derives from the table.
+
+    A rule's head is joined with the wanted triples first, so its body is only looked up for them.
+    """
+    found = []
+    for r in rules.rules:
+        if not r.head.variables and wanted.filter(matches(r.head)).isEmpty():
+            continue
+        head = bindings(wanted, r.head).distinct()
+        rows, seen = F.broadcast(head) if few else head, set(r.head.variables)
+        left = list(r.body)
+        while left:
+            # an atom that shares no variable with what is joined so far waits
+            a = min(left, key=lambda a: (bool(a.variables) and not seen & set(a.variables), not a.schema))
+            left.remove(a)
+            if not a.variables:
+                if source.triples.filter(matches(a)).isEmpty():
+                    rows = rows.limit(0)
+            elif not seen:
+                rows = source.rows(a)
+            elif shared := [v for v in a.variables if v in seen]:
+                rows = rows.join(source.rows(a), shared)
+            else:
+                raise ValueError("the atoms of a rule's body must be connected by variables")
+            seen |= set(a.variables)
+        if not r.head.variables:
+            rows = rows.limit(1)
+        found.append(_heads(r, rows).distinct())
+    return reduce(DataFrame.unionByName, found).distinct() if found else None
+
+
 def apply_once(rules: RuleSet, triples: DataFrame | Source) -> DataFrame | None:
     """(rule, s, p, o): every instantiation of every rule over the table; None without rules."""
     if not rules.rules:

@@ -20,8 +20,9 @@ from .operators import triples as t
 from .plans import closure as c
 from .plans import incremental as inc
 from .plans.compiler import Source, apply_once, instantiations
-from .sources import ntriples, rulefile
-from .sources.lineage import written
+from .plans.store import KnowledgeBase
+from .sources import ntriples, rulefile, tables
+from .sources.lineage import fresh_path, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -212,6 +213,41 @@ def decode_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.decode(encoded, names)
 
 
+#: Ids with the popular terms of a graph t in front.
+POPULAR_CTES = f"""t AS {rows_of(g.FULL)}, std AS (SELECT * FROM {STANDARD}), m AS (SELECT s AS term FROM t UNION ALL SELECT p FROM t UNION ALL SELECT o FROM t),
+c AS (SELECT term, count(*) AS n FROM m WHERE term NOT IN (SELECT term FROM std) GROUP BY term),
+pop AS (SELECT term, 99 + row_number() OVER (ORDER BY n DESC, term) AS id FROM c WHERE n > 300 QUALIFY row_number() OVER (ORDER BY n DESC, term) <= 100),
+dict AS (SELECT id, term FROM std UNION ALL SELECT CAST(id AS BIGINT), term FROM pop UNION ALL
+  SELECT CAST(199 + row_number() OVER (ORDER BY term) AS BIGINT), term FROM c WHERE term NOT IN (SELECT term FROM pop))"""
+
+
+@query(
+    f"WITH {POPULAR_CTES} SELECT a.id AS s, b.id AS p, c.id AS o FROM t JOIN dict a ON a.term = t.s JOIN dict b ON b.term = t.p JOIN dict c ON c.term = t.o"
+)
+def encode_skewed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Popular terms get low ids and are looked up without a shuffle."""
+    return d.compress(spark, g.run(spark, sf_dir, g.FULL), threshold=300)[0]
+
+
+@query(f"SELECT s, p, o FROM {rows_of(g.FULL)}")
+def decode_popular(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids that a sample shows to be popular are looked up without a shuffle."""
+    encoded, names = d.compress(spark, g.run(spark, sf_dir, g.FULL))
+    return d.decode(written(encoded, "encoded"), names, threshold=30, fraction=0.1)
+
+
+@query(
+    f"WITH {dictionary_ctes(g.FULL)}, m AS (SELECT s AS term FROM t UNION ALL SELECT p FROM t UNION ALL SELECT o FROM t),"
+    " c AS (SELECT id, dict.term, count(*) AS n FROM m JOIN dict ON dict.term = m.term GROUP BY id, dict.term HAVING count(*) >= 100)"
+    " SELECT id, term, CAST(n AS BIGINT) AS n FROM c QUALIFY row_number() OVER (ORDER BY n DESC, id) <= 100"
+)
+def popular_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ids that occur most when decoding, with their text."""
+    encoded, names = d.compress(spark, g.run(spark, sf_dir, g.FULL))
+    ids = written(d.popular_ids(encoded, 100), "ids")
+    return d.texts_of_ids(names, ids).join(ids, "id").select("id", "term", "n")
+
+
 # ---- patterns and index -----------------------------------------------------------------------
 
 NATION, PLACED = f"<{g.EX}nation/3>", f"<{g.EX}placedBy>"
@@ -325,6 +361,11 @@ MERGED = f"SELECT s, p, o, min(step) AS step, CAST(sum(cnt) AS BIGINT) AS cnt FR
 CHANGE = f"SELECT s, p, o, step, cnt FROM ({duck(COUNTED)}) WHERE cnt > 25"
 
 
+COUNTED_IDS = (
+    "SELECT l_orderkey AS s, CAST(l_linenumber AS BIGINT) AS p, l_partkey AS o, CAST(l_linenumber AS INT) AS step, CAST(floor(l_quantity) AS BIGINT) AS cnt FROM {lineitem}"
+)
+
+
 def change(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     rows = g.run(spark, sf_dir, COUNTED)
     return t.sum_counts(rows.filter("step > 2")), rows.filter("cnt > 25")
@@ -391,9 +432,12 @@ def count_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.count_terms(graph(spark, sf_dir, g.CORE))
 
 
-@query(None)
+@query(
+    f"WITH t AS (SELECT * FROM {rows_of(g.CORE)} WHERE substr(md5(concat_ws(' ', s, p, o)), 1, 8) < '{int(0.1 * (1 << 32)):08x}'),"
+    " n AS (SELECT s AS term FROM t UNION ALL SELECT p FROM t UNION ALL SELECT o FROM t) SELECT term, CAST(count(*) AS BIGINT) AS n FROM n GROUP BY term"
+)
 def sample_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts over a random sample: rows only."""
+    """Counts over a sample, which the triples' MD5 decides."""
     return t.count_terms(graph(spark, sf_dir, g.CORE), fraction=0.1)
 
 
@@ -429,6 +473,17 @@ def schema_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.join(t.bindings(rows, Atom(Var("b"), SUBCLASS, Var("c"), True)), "b").select("a", "b", "c")
 
 
+@query(
+    f"WITH t AS (SELECT DISTINCT s, p, o, length(s) % 7 AS step FROM ({duck(g.SCHEMA)}))"
+    f" SELECT a.s AS a, a.o AS b, b.o AS c, CAST(greatest(a.step, b.step) AS INT) AS step FROM t a JOIN t b ON b.s = a.o WHERE a.p = '{SUBCLASS}' AND b.p = '{SUBCLASS}'"
+)
+def schema_join_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As schema_join, with the later step of both sides (steps are made up from lengths)."""
+    rows = graph(spark, sf_dir, g.SCHEMA).withColumn("step", F.length("s") % 7).filter(F.col("p") == F.lit(SUBCLASS))
+    left = rows.select(F.col("s").alias("a"), F.col("o").alias("b"), "step")
+    return t.schema_join(left, rows.select(F.col("s").alias("b"), F.col("o").alias("c"), "step"), ["b"]).select("a", "b", "c", "step")
+
+
 def hierarchy_sql(sql: str, predicate: str) -> str:
     return (
         f"WITH RECURSIVE t AS {rows_of(sql)}, r(s, o) AS (SELECT s, o FROM t WHERE p = '{predicate}' UNION SELECT r.s, t.o FROM r JOIN t ON t.s = r.o AND t.p = '{predicate}')"
@@ -609,3 +664,125 @@ def list_kb(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = c.closure(encoded, rules.mapped(d.ids_of(names, list(rules.constants()))))
     how = F.when(F.col("is_explicit"), "stated").otherwise("derived")
     return d.decode(table.select(*SPO, how.alias("how")), names).select(F.concat_ws(" ", *SPO, "how").alias("line"))
+
+
+# ---- files and the stored knowledge base ------------------------------------------------------
+
+
+@query(f"SELECT s, p, o FROM {rows_of(NT)}")
+def nt_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text triples written as gzipped lines and read back by a file name pattern."""
+    path = fresh_path(spark, "nt")
+    ntriples.write(graph(spark, sf_dir, NT), path, "gzip")
+    return ntriples.read(spark, path, pattern="*.gz")
+
+
+@query(f"SELECT s, p, o, step, cnt, true AS is_explicit FROM ({duck(COUNTED_IDS)})")
+def triple_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counted triples of ids written and read back."""
+    path = fresh_path(spark, "triples")
+    tables.write_triples(g.run(spark, sf_dir, COUNTED_IDS), path)
+    return tables.read_triples(spark, path)
+
+
+def stored_kb(spark: SparkSession, sf_dir: str, sql: str, by_subject: bool = False) -> KnowledgeBase:
+    kb = KnowledgeBase(spark, fresh_path(spark, "kb"), by_subject)
+    kb.load(g.run(spark, sf_dir, sql))
+    return kb
+
+
+@query(f"SELECT s, p, o FROM {rows_of(g.CORE)}")
+def kb_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two loads into one knowledge base, read back as text."""
+    kb = stored_kb(spark, sf_dir, g.CUSTOMERS + " UNION ALL " + g.SUPPLIERS)
+    kb.load(g.run(spark, sf_dir, g.CORE))
+    return kb.decoded(kb.triples().select(*SPO))
+
+
+EXPLICIT = "SELECT k.s, k.p, k.o, x.s IS NOT NULL AS is_explicit FROM k LEFT JOIN t x ON x.s = k.s AND x.p = k.p AND x.o = k.o"
+
+
+def with_flag(kb: KnowledgeBase) -> DataFrame:
+    return kb.decoded(kb.triples().select(*SPO, "is_explicit"))
+
+
+@query(rdfs_sql(g.CORE, EXPLICIT))
+def kb_add(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Additions to a stored and materialised knowledge base, as a layer of their own."""
+    kb = stored_kb(spark, sf_dir, REST)
+    kb.materialise(rulefile.rdfs())
+    kb.add(graph(spark, sf_dir, DELTA), rulefile.rdfs())
+    return with_flag(kb)
+
+
+@query(rdfs_sql(REST, EXPLICIT))
+def kb_remove(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Removal by deletion and re-derivation."""
+    kb = stored_kb(spark, sf_dir, g.CORE)
+    kb.materialise(rulefile.rdfs())
+    kb.remove(graph(spark, sf_dir, DELTA), rulefile.rdfs())
+    return with_flag(kb)
+
+
+@query(rdfs_sql(REST, COUNTS))
+def kb_remove_counting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kb = stored_kb(spark, sf_dir, g.CORE)
+    kb.materialise(rulefile.rdfs(), counting=True)
+    kb.remove(graph(spark, sf_dir, DELTA), rulefile.rdfs(), by_counts=True)
+    return kb.decoded(kb.triples().select(*SPO, "cnt"))
+
+
+#: Facts that the closure derives, stated later.
+RESTATED = f"SELECT {g.node('customer', 'c_custkey')} AS s, '{TYPE}' AS p, '<{g.EX}class/Agent>' AS o FROM {{customer}}"
+
+
+@query(rdfs_sql(g.CORE, f"SELECT k.s, k.p, k.o, x.s IS NOT NULL OR y.s IS NOT NULL AS is_explicit FROM k LEFT JOIN t x ON x.s = k.s AND x.p = k.p AND x.o = k.o LEFT JOIN {rows_of(RESTATED)} y ON y.s = k.s AND y.p = k.p AND y.o = k.o"))
+def kb_restate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A load of facts that were derived before: they are stated from then on."""
+    kb = stored_kb(spark, sf_dir, g.CORE)
+    kb.materialise(rulefile.rdfs())
+    kb.load(g.run(spark, sf_dir, RESTATED))
+    return with_flag(kb)
+
+
+@query(f"SELECT s, p, o FROM {rows_of(g.CORE)} WHERE s IN ('<{g.EX}customer/3>', '<{g.EX}customer/7>')")
+def kb_query_subject(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Look-ups by subject in the layout that has subjects in ranges."""
+    kb = stored_kb(spark, sf_dir, g.CORE, by_subject=True)
+    ids = d.ids_of(kb.dictionary(), [f"<{g.EX}customer/3>", f"<{g.EX}customer/7>"])
+    found = [kb.query(s=i).select(*SPO) for i in ids.values()]
+    return kb.decoded(c.union_all(found)) if found else kb.decoded(kb.triples().select(*SPO).limit(0))
+
+
+@query(rdfs_sql(g.CORE))
+def delta_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An update that comes as a file of ids."""
+    kb = stored_kb(spark, sf_dir, g.CORE)
+    path = fresh_path(spark, "delta")
+    # the update is a part of the graph, taken out first
+    part = d.encode(graph(spark, sf_dir, DELTA), kb.dictionary())
+    tables.write_triples(part, path)
+    kb.materialise(rulefile.rdfs())
+    kb.remove(tables.read_delta(spark, path, 0).select(*SPO), rulefile.rdfs())
+    kb.add(tables.read_delta(spark, path, 0).select(*SPO), rulefile.rdfs())
+    return kb.decoded(kb.triples().select(*SPO))
+
+
+ASKED_TERMS = (
+    "SELECT concat('<http://ex/nation/', n_nationkey, '>') AS term, 'O' AS pos FROM {nation}"
+    f" UNION ALL SELECT '<{g.EX}inRegion>', 'P' FROM {{region}} WHERE r_regionkey = 0 UNION ALL SELECT '<{g.EX}nothing>', 'S' FROM {{region}}"
+)
+
+
+@query(
+    f"SELECT s, p, o FROM {rows_of(g.CORE)} WHERE p = '<{g.EX}inRegion>' OR o IN (SELECT concat('<http://ex/nation/', n_nationkey, '>') FROM nation)"
+)
+def lookup_and_pattern_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests from a file become patterns in a file, whose answers are appended to a file of ids and decoded."""
+    kb = stored_kb(spark, sf_dir, g.CORE)
+    asked, patterns, answers = (fresh_path(spark, x) for x in ("asked", "patterns", "answers"))
+    g.run(spark, sf_dir, ASKED_TERMS).select(F.concat_ws("\t", "term", "pos")).write.text(asked)
+    d.lookup(kb.dictionary(), tables.read_lookups(spark, asked)).select("query").write.text(patterns)
+    found = t.answer_patterns(kb.triples().select(*SPO), tables.read_patterns(spark, patterns))
+    tables.append_answers(found.select(*SPO), answers)
+    return kb.decoded(tables.read_number_text(spark, answers)).distinct()

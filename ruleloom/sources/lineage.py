@@ -9,16 +9,34 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_root(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``; where none is set, a folder of its own on one machine, and an error on a cluster."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="ruleloom-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
 
+#: Bytes of Parquet files that may be sent to every executor; terms may be long texts, so rows alone are no bound.
+BROADCAST_BYTES = 64 << 20
+
+
+def fresh_path(spark: SparkSession, label: str) -> str:
+    return f"{shared_root(spark)}/ruleloom-{label}-{uuid.uuid4().hex}"
+
+
+def fits(table: DataFrame, rows: int, counted: int | None = None) -> bool:
+    """Whether a stored table is small enough to be broadcast, by its rows and the bytes of its files."""
+    if (table.count() if counted is None else counted) > rows:
+        return False
+    return int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= BROADCAST_BYTES
+
+
 def written(df: DataFrame, label: str = "step") -> DataFrame:
     """df as a Parquet table of its own."""
     spark = df.sparkSession
-    path = f"{shared_root(spark)}/ruleloom-{label}-{uuid.uuid4().hex}"
+    path = fresh_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

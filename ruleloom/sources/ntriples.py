@@ -31,25 +31,30 @@ def counts(parsed: DataFrame) -> DataFrame:
     return parsed.agg(F.count_if("ok").alias("parsed"), F.count_if(~F.col("ok")).alias("malformed"))
 
 
-def observed(parsed: DataFrame) -> tuple[DataFrame, Observation]:
-    """The well-formed triples, and counters that whatever runs over them fills on the way."""
-    seen = Observation("ntriples")
-    watched = parsed.observe(seen, F.count_if("ok").alias("parsed"), F.count_if(~F.col("ok")).alias("malformed"))
-    return watched.filter("ok").select("s", "p", "o"), seen
-
-
 def own_bnodes(term: Column, file: Column) -> Column:
     """Blank nodes renamed by their file, since labels are only unique in one."""
     name = F.regexp_replace(file, "[^A-Za-z0-9]", "")
     return F.when(term.startswith("_:"), F.concat(F.lit("_:"), name, F.substring(term, 3, 1 << 30))).otherwise(term)
 
 
-def read(spark: SparkSession, path: str, rename_bnodes: bool = False, pattern: str | None = None) -> DataFrame:
+def good(parsed: DataFrame, rename_bnodes: bool = False) -> DataFrame:
     """(s, p, o) of the well-formed lines, repeats included."""
-    good = parse(read_lines(spark, path, pattern)).filter("ok")
+    rows = parsed.filter("ok")
     if rename_bnodes:
-        good = good.withColumns({c: own_bnodes(F.col(c), F.col("file")) for c in ("s", "o")})
-    return good.select("s", "p", "o")
+        rows = rows.withColumns({c: own_bnodes(F.col(c), F.col("file")) for c in ("s", "o")})
+    return rows.select("s", "p", "o")
+
+
+def observed(parsed: DataFrame, rename_bnodes: bool = False) -> tuple[DataFrame, Observation]:
+    """The well-formed triples, and counters that whatever runs over them fills on the way."""
+    seen = Observation("ntriples")
+    watched = parsed.observe(seen, F.count_if("ok").alias("parsed"), F.count_if(~F.col("ok")).alias("malformed"))
+    return good(watched, rename_bnodes), seen
+
+
+def read(spark: SparkSession, path: str, rename_bnodes: bool = False, pattern: str | None = None) -> DataFrame:
+    """(s, p, o) of the well-formed lines of files."""
+    return good(parse(read_lines(spark, path, pattern)), rename_bnodes)
 
 
 def as_lines(triples: DataFrame) -> DataFrame:
