@@ -80,13 +80,16 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 POINTS = {"article": 25.0, "main": 20.0, "section": 5.0, "div": 5.0, "td": 3.0, "pre": 3.0, "blockquote": 3.0}
 
 
+NOTHING: list[float] = []
+
+
 class Node:
     __slots__ = ("tag", "parent", "attrs", "start", "points", "passed", "chars", "linked", "drop", "name", "holds", "block", "inside", "scored", "kept")
 
     def __init__(self, tag: str, parent: Node | None, attrs: str, start: int = 0):
         self.tag, self.parent, self.attrs, self.start = tag, parent, attrs, start
         #: Points, and those of blocks 0, 1, 2, 3 and more levels below, before they are shared out.
-        self.points, self.passed = 0.0, [0.0] * 5
+        self.points, self.passed = 0.0, NOTHING
         self.chars, self.linked, self.scored, self.kept = 0, 0, False, False
         #: The nearest block element, and whether an article or main element is around.
         self.block = self if tag in BLOCK or parent is None else parent.block
@@ -311,14 +314,30 @@ def main_text(page: str) -> str:
         for node in named
         if "main" in node.holds or 2 * prose(node) > total and ("article" in node.holds or not NAMED.search(node.name))
     }
-    left, _, rest = parse(page, spared)
+    if all(n.tag in BLOCK for n in named):
+        # a block element's text is in blocks of its own: they go, and the rest is as it is
+        left, rest = without(blocks, nodes, {id(n) for n in named if n.start not in spared})
+    else:
+        left, _, rest = parse(page, spared)
     weigh(left, rest)
     text = best_text(left, rest)
-    if len(text) < TINY and len(whole := best_text(blocks, nodes)) >= max(1, LONGER * len(text)):
-        return whole
+    if len(text) < TINY:
+        blocks, _, nodes = parse(page)
+        weigh(blocks, nodes)
+        if len(whole := best_text(blocks, nodes)) >= max(1, LONGER * len(text)):
+            return whole
     return text
 
 
+def without(blocks: Blocks, nodes: list[Node], gone: set[int]) -> tuple[Blocks, list[Node]]:
+    """The blocks and elements outside the elements in ``gone``, with nothing weighed."""
+    for node in nodes:
+        node.chars, node.linked = 0, 0
+        if id(node) in gone or node.parent is not None and node.parent.drop:
+            node.drop = True
+    return [b for b in blocks if not b[0].drop], [n for n in nodes if not n.drop]
+
+
 #: What a block's points are divided by for the element that holds it, and those 1, 2, 3 and more levels above.
 SHARES = (1, 2, 6, 9, 12)
 #: Parts of tables and lists are not articles by themselves.
@@ -332,13 +351,16 @@ def best_text(blocks: Blocks, nodes: list[Node]) -> str:
     for owner, text, linked in blocks:
         prose = 1.0 + text.count(",") + text.count("،") + text.count("，") + min(len(text) / 100, 3.0)
         holder = owner if owner.tag in POINTS else owner.parent or owner
+        if not holder.scored:
+            holder.passed = [0.0] * 5
         holder.passed[0] += prose * (1 - min(1.0, linked / len(text)))
         holder.scored = True
     # elements come before what they hold
     for node in reversed(nodes[1:]):
         above = node.parent
         if node.scored:
-            above.scored = True
+            if not above.scored:
+                above.scored, above.passed = True, [0.0] * 5
             for k in range(4):
                 above.passed[k + 1] += node.passed[k]
             above.passed[4] += node.passed[4]
