@@ -19,10 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MEMO_ENTRIES, slices, texts
+from .common import LONGEST_KEPT, slices, texts
 
 #: Bytes of a word up to which ranks are scanned.
 SHORT = 48
+#: Pieces that a worker remembers (of LONGEST_KEPT characters at most) before it starts anew.
+WORDS_KEPT = 400_000
 
 #: Unicode White_Space; Python's own \s also takes U+001C to U+001F.
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -181,7 +183,7 @@ class ByteBPE:
 
     def encode_batch(self, batch: list[str]) -> list[bytes]:
         """The ids of each text as little-endian uint32 bytes."""
-        if len(self.memo) > MEMO_ENTRIES:
+        if len(self.memo) > WORDS_KEPT:
             self.memo.clear()
         get = self.memo.get
         out: list[bytes | list] = []
@@ -208,7 +210,7 @@ class ByteBPE:
                 for k, piece in gap:
                     row[k] = fresh[piece]
                 out[at] = b"".join(row)
-            self.memo.update(fresh)
+            self.memo.update({s: ids for s, ids in fresh.items() if len(s) <= LONGEST_KEPT})
         return out
 
     def _cut(self, text: str) -> list[str]:
