@@ -1,12 +1,17 @@
 """Secret scan: fixed formats, and a battery of randomness tests on other tokens.
 
-Candidates are runs of 16 or more letters, digits and +/_=- that mix character classes and lie in
-no base match. A candidate's encoding (hex, base32, base64, ...) is inferred from its characters.
-It must pass as random in that alphabet: chi-squared uniformity, Wald-Wolfowitz runs about the
-middle of the alphabet, and lag-one serial correlation. Its p-value is against ordinary text and
-identifiers: collisions as few as these among letters of prose, and as many changes of character
-class, combined by Fisher's method. Benjamini-Hochberg then runs over all documents within classes
-of length, so that short tokens, of which there are many, need more evidence.
+Candidates are runs of 16 or more letters, digits and +/_=- that lie in no base match and have at
+least two of the classes small letters, capitals and digits (of one class alone, a random token and a
+word or number can't be told apart by these tests). A candidate's encoding (hex, base32, base64, ...)
+is inferred from its characters, and three tests are made: chi-squared uniformity over the encoding's
+alphabet, by the rate of equal pairs of characters; runs of character classes; and lag-one serial
+correlation of places in the alphabet. Each statistic is known for uniformly random tokens from the
+alphabet, and for ordinary text and identifiers from ORDINARY. Its distance from ordinary towards
+random is a normal deviate, less what it lies beyond random (a token far more regular than chance
+isn't random either). The three are combined by Stouffer's method, each with the weight by which it
+tells random from ordinary in this encoding, to a p-value against ordinary text.
+Benjamini-Hochberg then runs over all candidates of all documents within classes of length, so that
+short tokens, of which there are many, need more evidence.
 """
 
 from __future__ import annotations
@@ -46,14 +51,21 @@ ENCODINGS = [
 ]
 ORDER = {c: k for k, c in enumerate("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz+/_-=")}
 
-#: Chance that two letters of prose are equal, and that neighbours in an identifier differ in class.
-PROSE_COLLISION, CLASS_CHANGE = 0.066, 0.15
-#: Tests below this chance under uniform randomness say that the token is structured.
-STRUCTURED = 1e-3
+#: Of ordinary tokens (words in any case, numbers and separators, put together at random): the mean of each statistic
+#: and its standard deviation times the square root of the length; the tests check the tails.
+ORDINARY = {"collisions": (0.041, 0.085), "changes": (0.05, 0.25), "serial": (0.32, 1.6)}
+#: The same for tokens of hex digits alone, which are dates and numbers rather than words.
+ORDINARY_HEX = {"collisions": (0.09, 0.12), "changes": (0.05, 0.25), "serial": (0.32, 1.6)}
+#: Standard deviations of the statistics of random tokens, as above, how many of them beyond their mean a token may
+#: lie before it counts as too regular, and how often what it lies beyond is taken off.
+RANDOM_SPREAD, TOO_REGULAR, REGULARITY_COSTS = {"collisions": 0.08, "changes": 0.5, "serial": 0.95}, 2.5, 6
+#: The most that one test counts, in standard deviations.
+MOST_DEVIATION = 8.0
 #: Upper ends of the classes of length.
 LENGTHS = [20, 24, 32, 48, 64]
 FALSE_DISCOVERY = 0.01
 BIN = 0.25
+#: The highest bin of -log10 of a p-value: those below 1e-30 count as 1e-30.
 TOP_BIN = 120
 
 SPAN = "array<struct<kind:int,start:long,end:long>>"
@@ -66,95 +78,62 @@ SCHEMA = (
 # ---- tests ----------------------------------------------------------------------------------
 
 
-def _gamma_upper(a: float, x: float) -> float:
-    """The regularised upper incomplete gamma function Q(a, x)."""
-    if x <= 0:
-        return 1.0
-    log_front = a * math.log(x) - x - math.lgamma(a)
-    if x < a + 1:
-        term = total = 1.0 / a
-        k = a
-        while abs(term) > 1e-14 * total:
-            k += 1
-            term *= x / k
-            total += term
-        return max(0.0, 1.0 - total * math.exp(log_front))
-    b = x + 1 - a
-    c, d = 1e300, 1 / b
-    h = d
-    for i in range(1, 500):
-        an = -i * (i - a)
-        b += 2
-        d = an * d + b
-        d = 1 / (d if abs(d) > 1e-300 else 1e-300)
-        c = b + an / c
-        c = c if abs(c) > 1e-300 else 1e-300
-        h *= d * c
-        if abs(d * c - 1) < 1e-14:
-            break
-    return math.exp(log_front) * h
-
-
-def _normal_two_sided(z: float) -> float:
-    return math.erfc(abs(z) / math.sqrt(2))
-
-
-def _binomial_upper(n: int, p: float, k: int) -> float:
-    """P(Bin(n, p) >= k)."""
-    if k <= 0:
-        return 1.0
-    logs = [
-        math.lgamma(n + 1) - math.lgamma(j + 1) - math.lgamma(n - j + 1) + j * math.log(p) + (n - j) * math.log1p(-p)
-        for j in range(k, n + 1)
-    ]
-    top = max(logs)
-    return min(1.0, math.exp(top) * sum(math.exp(x - top) for x in logs))
-
-
 def _class(c: str) -> int:
     return 0 if c.islower() else 1 if c.isupper() else 2 if c.isdigit() else 3
 
 
+def _expected() -> dict[str, tuple[float, float]]:
+    """For each encoding: rate of equal pairs and of class changes of uniformly random tokens."""
+    out = {}
+    for name, chars, size in ENCODINGS:
+        # hex and base32 tokens are of one case
+        own = [c for c in ORDER if chars.match(c) and not (name == "hex" and c in "abcdef") and c != "="]
+        own = [c for c in own if _class(c) < 3]
+        share = [sum(_class(c) == k for c in own) / len(own) for k in range(3)]
+        out[name] = 1 / size, 1 - sum(x * x for x in share) - share[0] * share[1] * (1 + share[0])
+    return out
+
+
 def battery(token: str) -> tuple[str, float]:
-    """(encoding, p-value against ordinary text); 1 if a test of randomness fails."""
-    encoding, size = next((name, size) for name, chars, size in ENCODINGS if chars.match(token))
+    """(encoding, p-value against ordinary text)."""
+    encoding = next(name for name, chars, _ in ENCODINGS if chars.match(token))
     body = token.rstrip("=") or token
     n = len(body)
-    counts = Counter(body)
-    collisions = sum(c * (c - 1) // 2 for c in counts.values())
-    chi = size / n * (2 * collisions + n) - n
-    if _gamma_upper((size - 1) / 2, chi / 2) < STRUCTURED:
-        return encoding, 1.0
+    equal, differ = EXPECTED[encoding]
+    # chi-squared over an alphabet of `size` is size / n * (2 * collisions + n) - n: it and this rate say the same
+    collisions = sum(c * (c - 1) for c in Counter(body).values()) / (n * (n - 1))
+    classes = [_class(c) for c in body]
+    # a capital before a small letter starts a word, in prose and in identifiers alike; separators part words
+    pairs = changes = 0
+    for a, b, c in zip(classes, classes[1:], [*classes[2:], 3], strict=False):
+        if a < 3 and b < 3:
+            pairs += 1
+            changes += a != b and (a, b) != (1, 0) and (a, b, c) != (0, 1, 0)
+    changes /= max(1, pairs)
     places = [ORDER[c] for c in body]
-    middle = sorted(places)[n // 2]
-    high = [p >= middle for p in places]
-    n1 = sum(high)
-    n2 = n - n1
-    if n1 and n2:
-        runs = 1 + sum(a != b for a, b in zip(high, high[1:], strict=False))
-        mean = 2 * n1 * n2 / n + 1
-        spread = (mean - 1) * (mean - 2) / (n - 1)
-        if spread > 0 and _normal_two_sided((runs - mean) / math.sqrt(spread)) < STRUCTURED:
-            return encoding, 1.0
     mean = sum(places) / n
     total = sum((p - mean) ** 2 for p in places)
-    if total > 0:
-        serial = sum((a - mean) * (b - mean) for a, b in zip(places, places[1:], strict=False)) / total
-        if _normal_two_sided(serial * math.sqrt(n)) < STRUCTURED:
-            return encoding, 1.0
-    few = _gamma_upper(collisions + 1, n * (n - 1) / 2 * PROSE_COLLISION)  # P(Poisson <= collisions)
-    classes = [_class(c) for c in body]
-    # a capital before a small letter starts a word, in prose and in identifiers alike
-    changes = sum(a != b and (a, b) != (1, 0) for a, b in zip(classes, classes[1:], strict=False))
-    many = _binomial_upper(n - 1, CLASS_CHANGE, changes)
-    x = -math.log(max(few, 1e-300)) - math.log(max(many, 1e-300))
-    return encoding, min(1.0, math.exp(-x) * (1 + x))
+    serial = sum((a - mean) * (b - mean) for a, b in zip(places, places[1:], strict=False)) / total if total else 1.0
+    ordinary = ORDINARY_HEX if encoding == "hex" else ORDINARY
+    z = weights = 0.0
+    for name, value, random in (("collisions", collisions, equal), ("changes", changes, differ), ("serial", serial, -1 / n)):
+        usual, spread = ordinary[name]
+        towards = 1.0 if random > usual else -1.0
+        beyond = max(0.0, towards * (value - random) - TOO_REGULAR * RANDOM_SPREAD[name] / math.sqrt(n))
+        distance = towards * (value - usual) - REGULARITY_COSTS * beyond
+        weight = abs(random - usual) / spread
+        z += weight * min(MOST_DEVIATION, distance * math.sqrt(n) / spread)
+        weights += weight * weight
+    return encoding, 0.5 * math.erfc(z / math.sqrt(2 * weights))
 
 
 def length_class(n: int) -> int:
     return sum(n >= x for x in LENGTHS)
 
 
+EXPECTED = _expected()
+
+
 # ---- spans ----------------------------------------------------------------------------------
 
 
@@ -185,7 +164,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[dict]:
-    """Tokens outside base spans with their tests; those of one class of characters are ordinary and left out."""
+    """Tokens of two classes of characters or more, outside base spans, with their tests."""
     if not _runs_over(text.encode(), TOKEN_BYTES, 16):
         return []
     out = []
@@ -195,7 +174,7 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[dict]:
             reach = max(reach, inside[k][2])
             k += 1
         token = m.group()
-        if m.start() < reach or len({_class(c) for c in token} - {3}) < 2 or not any(c.isdigit() for c in token):
+        if m.start() < reach or len({_class(c) for c in token} - {3}) < 2:
             continue
         encoding, p = battery(token)
         out.append(
@@ -267,7 +246,10 @@ def thresholds(scores: DataFrame, false_discovery: float = FALSE_DISCOVERY) -> d
 
 
 def scan(spark: SparkSession, docs: DataFrame, false_discovery: float = FALSE_DISCOVERY) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_random: one row for each row of docs."""
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_random: one row for each row of docs.
+
+    Null and empty texts have no spans; repeated rows stay repeated, and a null doc_id stays null.
+    """
     scores = written(spark, scored(docs), "secrets")
     least = thresholds(scores, false_discovery)
     random = F.expr(
@@ -292,7 +274,8 @@ def scan(spark: SparkSession, docs: DataFrame, false_discovery: float = FALSE_DI
 def redact(spark: SparkSession, docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """docs with every span of ``scan`` replaced by ``mark`` (overlapping spans by one) and n_chars to match.
 
-    Other columns, null texts and texts without spans stay as they are.
+    Other columns, null texts and texts without spans stay as they are, and so do rows that repeat a
+    doc_id or have none: each is read by itself, and all count in the false-discovery control.
     """
     least = thresholds(written(spark, scored(docs), "secrets"))
     schema = docs.schema

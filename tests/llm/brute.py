@@ -219,3 +219,45 @@ def leaks(docs: list, items: list, units: frozenset, window: int, share: float,
             if covered and (long or len(covered) / n >= share):
                 found.add((doc_id, item_id))
     return found
+
+
+# ---- op5 ----
+
+
+def randomness(token: str, alphabet: str, ordinary: dict, random_spread: dict, regular: tuple, most: float) -> float:
+    """The p-value of a token against ordinary ones, from its statistics taken the long way."""
+    order = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz+/_-="
+    kind = lambda c: "a" if c.islower() else "A" if c.isupper() else "0" if c.isdigit() else "-"
+    body = token.rstrip("=")
+    n = len(body)
+    pairs = [(body[i], body[j]) for i in range(n) for j in range(n) if i != j]
+    places = np.array([order.index(c) for c in body], float)
+    d = places - places.mean()
+    kinds = "".join(map(kind, body))
+    steps = [kinds[k : k + 3] for k in range(n - 1) if "-" not in kinds[k : k + 2]]
+    differ = lambda x: x[0] != x[1] and x[:2] != "Aa" and x != "aAa"
+    letters = [kind(c) for c in alphabet if kind(c) != "-"]
+    share = [(k, letters.count(k) / len(letters)) for k in "aA0"]
+    value = {
+        "collisions": sum(a == b for a, b in pairs) / len(pairs), "changes": sum(map(differ, steps)) / max(1, len(steps)),
+        "serial": (d[:-1] * d[1:]).sum() / (d * d).sum() if (d * d).sum() else 1.0,
+    }
+    expected = {
+        "collisions": 1 / len(alphabet), "serial": -1 / n,
+        "changes": sum(differ(a + b + c) * x * y * z for a, x in share for b, y in share for c, z in share),
+    }
+    z, total = 0.0, 0.0
+    for name, (usual, spread) in ordinary.items():
+        sign = 1 if expected[name] > usual else -1
+        beyond = max(0.0, sign * (value[name] - expected[name]) - regular[0] * random_spread[name] / n**0.5)
+        weight = abs(expected[name] - usual) / spread
+        z += weight * min(most, (sign * (value[name] - usual) - regular[1] * beyond) * n**0.5 / spread)
+        total += weight**2
+    return 0.5 * math.erfc(z / (2 * total) ** 0.5)
+
+
+def discovered(p_values: dict, rate: float) -> set:
+    """Benjamini-Hochberg."""
+    ranked = sorted(p_values, key=p_values.get)
+    passed = [k for k, x in enumerate(ranked, 1) if p_values[x] <= rate * k / len(ranked)]
+    return set(ranked[: max(passed, default=0)])

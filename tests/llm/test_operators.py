@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import re
 import time
 import zlib
 from xml.etree import ElementTree
@@ -166,6 +167,61 @@ def test_random_tokens(spark):
     assert out[0]["kept"] == "clash" and "hunter22" not in out[4]["text"]
 
 
+SMALL, DIGITS = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+ALPHABETS = {"alnum": SMALL + SMALL.upper() + DIGITS, "lower36": SMALL + DIGITS, "base32": SMALL.upper() + "234567", "base64": SMALL + SMALL.upper() + DIGITS + "+/"}
+
+
+def ordinary_token(r, n):
+    """Words, numbers and separators put together."""
+    words = "the report shows sales rose while costs fell market internal release version config number of users region server name".split()
+    style, out = r.choice(["camel", "snake", "upper", "path", "mixed"]), ""
+    while len(out) < n:
+        w = r.choice(words)
+        part = str(r.randint(0, 10 ** r.randint(1, 6))) if r.random() < 0.3 else {"camel": w.title(), "upper": w.upper(), "mixed": r.choice([w, w.upper(), w.title()])}.get(style, w)
+        out += ({"snake": "_", "path": "/"}.get(style, r.choice(["", "-", "_"])) if out else "") + part
+    return out[:n]
+
+
+def test_randomness_battery():
+    r = random.Random(17)
+    for n in (16, 24, 40):
+        p = np.array([secret_scan.battery(x)[1] for x in (ordinary_token(r, n) for _ in range(3000)) if len({secret_scan._class(c) for c in x} - {3}) > 1])
+        assert [(p <= x).mean() <= most for x, most in ((1e-2, 1e-2), (1e-3, 2e-3), (1e-4, 4e-4))] == [True] * 3, n
+    for name, chars in ALPHABETS.items():
+        tokens = ["".join(r.choice(chars) for _ in range(40)) for _ in range(200)]
+        assert np.mean([secret_scan.battery(x)[1] <= 1e-4 for x in tokens]) > (0.6 if name == "base32" else 0.85), name
+        for x in tokens[:40]:
+            encoding, p = secret_scan.battery(x)
+            if encoding in ALPHABETS:
+                want = brute.randomness(
+                    x, ALPHABETS[encoding], secret_scan.ORDINARY, secret_scan.RANDOM_SPREAD, (secret_scan.TOO_REGULAR, secret_scan.REGULARITY_COSTS), secret_scan.MOST_DEVIATION
+                )
+                assert abs(p - want) <= 1e-9 + 1e-6 * want
+    for regular in ("0123456789abcdefghijklmnopqrstuvwxyz", "a1a1a1a1a1a1a1a1a1a1", "0a1b2c3d4e5f6g7h8i9j", "abcabcabcabcabc1111111111"):
+        assert secret_scan.battery(regular)[1] > 1e-3, regular
+
+
+def test_secrets_against_brute_force(spark):
+    r = random.Random(18)
+    tokens = [ordinary_token(r, r.randint(16, 70)) for _ in range(400)]
+    tokens += ["".join(r.choice(chars) for _ in range(n)) for chars in ALPHABETS.values() for n in (16, 20, 28, 40, 70) for _ in range(3)]
+    r.shuffle(tokens)
+    docs = [" ".join(tokens[k : k + 5]) for k in range(0, len(tokens), 5)]
+    got = {(k, x) for k, row in by_id(secret_scan.scan(spark, documents(spark, docs))).items() for x in row["spans"].split(",") if x.startswith("random")}
+    classes = {}
+    for k, text in enumerate(docs):
+        base = brute.secrets(text)
+        for m in re.finditer(r"[A-Za-z0-9+/_=-]{16,}", text):
+            if any(a < m.end() and b > m.start() for a, _, b in base) or len({secret_scan._class(c) for c in m.group()} - {3}) < 2:
+                continue
+            size = sum(len(m.group()) >= x for x in secret_scan.LENGTHS)
+            classes.setdefault(size, {})[k, f"random:{m.start()}:{m.end()}"] = secret_scan.battery(m.group())[1]
+    exact = set().union(*(brute.discovered(p, secret_scan.FALSE_DISCOVERY) for p in classes.values()))
+    # bins round p-values up, by less than their width
+    strict = set().union(*(brute.discovered({x: v * 10**secret_scan.BIN for x, v in p.items()}, secret_scan.FALSE_DISCOVERY) for p in classes.values()))
+    assert strict <= got <= exact and len(got) > 25
+
+
 def test_toxicity(spark):
     r = random.Random(1)
     plain = "the of and to in that is for it with as was on be by".split()
