@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 #: Entries of each of a memo's two generations, and the longest key that it keeps.
-MEMO_ENTRIES, LONGEST_KEPT = 200_000, 64
+MEMO_ENTRIES, LONGEST_KEPT = 300_000, 64
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -67,20 +67,34 @@ class Canonical:
     def __init__(self):
         import xxhash
 
-        def code(token: str) -> int:
+        digest = xxhash.xxh3_64_intdigest
+        stops = {x: END_KIND.to_bytes(8, "little") for x in ".!?\n"}
+
+        def code(token: str) -> bytes:
             c = token[0]
             if c in ".!?\n":
-                return END_KIND
+                return stops[c]
+            low = token.lower()
             if c.isdigit():
                 kind = NUMBER_KIND
             elif c.isupper() and len(token) > 1 and not token.isupper():
                 kind = NAME_KIND
             else:
-                kind = UNIT_KIND if token.lower() in UNITS else WORD_KIND
-            return (xxhash.xxh3_64_intdigest(token.lower()) & MASK) << 3 | kind
+                kind = UNIT_KIND if low in UNITS else WORD_KIND
+            return ((digest(low) & MASK) << 3 | kind).to_bytes(8, "little")
+
+        def codes(chunk: str) -> bytes:
+            # most chunks are one word, or a word and a mark
+            if chunk.isascii() and chunk[:-1].isalpha():
+                last = chunk[-1]
+                if last.isalpha():
+                    return code(chunk)
+                if last in ",;:.!?":
+                    return self.codes[chunk[:-1]] + stops.get(last, b"")
+            return b"".join(map(code, TOKEN.findall(chunk)))
 
         # tokens never span a blank or a line's end, so what stands between them is remembered
-        self.codes = Memo(lambda chunk: np.array([code(t) for t in TOKEN.findall(chunk)], np.uint64).tobytes())
+        self.codes = Memo(codes)
 
     def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         chunks = text.replace("\n", " \n ").split(" ")
