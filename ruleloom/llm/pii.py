@@ -5,11 +5,13 @@ high recall: local phone numbers, social security numbers, IBANs, birth dates, M
 addresses, spelt-out emails, titled names, street addresses, document numbers and credentials in
 URLs. Each candidate gets features of its format and of the words around it; gradient-boosted
 trees (trained on made-up sentences, see ``pii_training``) score it, and a margin calibrated for
-each generator decides. Of overlapping accepted candidates the better one stays; candidates that
-overlap a fixed format are dropped.
+each generator decides. Candidates that overlap a fixed format are dropped. Of accepted candidates
+that overlap, the best stays, then the best of those that don't overlap it, and so on.
 
 Positions come from splitting a text at a pattern's matches: piece and match lengths add up to
-code point offsets.
+code point offsets. Overlaps are found by running totals over spans sorted by start, so that the time
+is in proportion to the number of spans (to the square only of the longest chain of accepted
+candidates that overlap one another).
 """
 
 from __future__ import annotations
@@ -79,21 +81,31 @@ def let(value: str, name: str, body: str) -> str:
     return f"transform(array({value}), {name} -> {body})[0]"
 
 
-def sums(array: str) -> str:
-    """Running totals of an array of numbers, each with its own element; blocks of 256 keep copying low."""
+def running(array: str, step: str, start: str) -> str:
+    """Running results of ``step`` (of x.n and v) over an array of longs; blocks of 256 keep copying low."""
+    made = "named_struct('n', r, 'out', concat(x.out, array(r)))"
     block = (
         "aggregate(slice(a, b + 1, 256), named_struct('n', acc.n, 'out', cast(array() as array<bigint>)),"
-        " (x, v) -> named_struct('n', x.n + v, 'out', concat(x.out, array(x.n + v))))"
+        f" (x, v) -> {let(step, 'r', made)})"
     )
-    step = let(block, "q", "named_struct('n', q.n, 'out', concat(acc.out, q.out))")
+    grown = let(block, "q", "named_struct('n', q.n, 'out', concat(acc.out, q.out))")
     return let(
         array,
         "a",
         "if(size(a) = 0, cast(array() as array<bigint>), aggregate(sequence(0, size(a) - 1, 256),"
-        f" named_struct('n', 0L, 'out', cast(array() as array<bigint>)), (acc, b) -> {step}, acc -> acc.out))",
+        f" named_struct('n', {start}, 'out', cast(array() as array<bigint>)), (acc, b) -> {grown}, acc -> acc.out))",
     )
 
 
+def sums(array: str) -> str:
+    """Running totals of an array of numbers, each with its own element."""
+    return running(array, "x.n + v", "0L")
+
+
+def highest(array: str) -> str:
+    return running(array, "if(v > x.n, v, x.n)", "-1L")
+
+
 SPAN = "array<struct<kind:int,start:bigint,end:bigint,text:string,left:string,right:string>>"
 
 
@@ -183,22 +195,54 @@ def trained(spark: SparkSession) -> tuple[str, dict[int, float]]:
     return _trained[0]
 
 
-#: Keeps the better of overlapping accepted candidates, in one pass by start.
-RESOLVE = (
-    "aggregate(array_sort(transform(good, x -> named_struct('start', x.start, 'end', x.end, 'kind', x.kind, 'z', x.z))),"
-    " named_struct('out', cast(array() as array<struct<start:bigint,end:bigint,kind:int,z:double>>),"
-    " 'last', cast(null as struct<start:bigint,end:bigint,kind:int,z:double>)),"
-    " (a, x) -> case when a.last is null then named_struct('out', a.out, 'last', x)"
-    " when x.start >= a.last.end then named_struct('out', concat(a.out, array(a.last)), 'last', x)"
-    " when x.z > a.last.z then named_struct('out', a.out, 'last', x) else a end,"
-    " a -> if(a.last is null, a.out, concat(a.out, array(a.last))))"
-)
+#: A position beyond all texts.
+FAR = 1 << 40
+
+
+def free_of(base: str, cand: str) -> str:
+    """The candidates that overlap no base span.
+
+    With both sorted by start, one overlaps a span from before if the highest end so far is beyond its
+    start, and one from behind if the next start is before its end.
+    """
+    both = (
+        f"sort_array(concat(transform({base}, b -> named_struct('start', b.start, 'c', 0, 'end', b.end, 'x', cast(null as {SPAN[6:-1]}))),"
+        f" transform({cand}, x -> named_struct('start', x.start, 'c', 1, 'end', x.end, 'x', x))))"
+    )
+    ends = highest("transform(s, y -> if(y.c = 0, y.end, -1L))")
+    starts = f"reverse({highest(f'reverse(transform(s, y -> if(y.c = 0, {FAR}L - y.start, -1L)))')})"
+    kept = "filter(z.s, (y, k) -> y.c = 1 and z.e[k] <= y.start and (z.f[k] < 0 or " + f"{FAR}L - z.f[k] >= y.end))"
+    return let(both, "s", let(f"named_struct('s', s, 'e', {ends}, 'f', {starts})", "z", f"transform({kept}, y -> y.x)"))
+
+
+def best_of(good: str) -> str:
+    """Of overlapping spans the best, then the best of those that don't overlap it, and so on, by start.
+
+    Spans are cut into chains where no earlier one reaches the next start; most chains are one span.
+    """
+    ends = highest("transform(s, y -> y.end)")
+    firsts = "filter(sequence(0, size(s) - 1), k -> k = 0 or z.e[k - 1] <= s[k].start)"
+    chain = "slice(s, k + 1, coalesce(get(i, j + 1), size(s)) - k)"
+    kind = "array<struct<start:bigint,end:bigint,kind:int,z:double>>"
+    ranked = "sort_array(transform(c, y -> named_struct('z', -y.z, 'start', y.start, 'end', y.end, 'kind', y.kind)))"
+    fits = "forall(a, o -> o.end <= y.start or y.end <= o.start)"
+    picked = (
+        f"aggregate({ranked}, cast(array() as {kind}),"
+        f" (a, y) -> if({fits}, concat(a, array(named_struct('start', y.start, 'end', y.end, 'kind', y.kind, 'z', -y.z))), a))"
+    )
+    chains = let(firsts, "i", f"transform(i, (k, j) -> {let(chain, 'c', f'if(size(c) = 1, c, {picked})')})")
+    body = let(f"named_struct('e', {ends})", "z", f"sort_array(flatten({chains}))")
+    return let(
+        f"sort_array(transform({good}, x -> named_struct('start', x.start, 'end', x.end, 'kind', x.kind, 'z', x.z)))",
+        "s",
+        f"if(size(s) = 0, cast(array() as {kind}), {body})",
+    )
 
 
 def scan(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_more: one row for each row of docs.
 
-    Null and empty texts have no spans. ``spans`` holds kind:start:end of the fixed formats and of
+    Null and empty texts have no spans; repeated rows stay repeated, and a null doc_id stays null. ``spans`` holds kind:start:end of the fixed formats and of
     the accepted candidates, by start, then kind.
     """
     score, margins = trained(spark)
@@ -208,13 +252,13 @@ def scan(spark: SparkSession, docs: DataFrame) -> DataFrame:
     text = f"array_join(transform(%s, s -> concat({named}, ':', s.start, ':', s.end)), ',')"
     plain = "transform(base, b -> named_struct('start', b.start, 'kind', b.kind, 'end', b.end))"
     scored = f"transform(cand, x -> {let(feature_struct(), 'f', f'''named_struct('kind', x.kind, 'start', x.start, 'end', x.end, 'z', {score})''')})"
-    free = "filter(cand, x -> not exists(base, b -> b.start < x.end and x.start < b.end))"
+    free = free_of("base", "cand")
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t"))
     d = d.withColumn("digits", F.expr("t rlike '[0-9]'"))
     d = d.select("doc_id", F.expr(base_spans()).alias("base"), F.expr(candidate_spans()).alias("cand"))
     d = d.withColumn("cand", F.expr(f"if(size(cand) = 0, cand, {free})"))
     d = d.withColumn("good", F.expr(f"filter({scored}, x -> {accepted})"))
-    d = d.withColumn("more", F.expr(RESOLVE))
+    d = d.withColumn("more", F.expr(best_of("good")))
     d = d.withColumn("first", F.expr(f"array_sort({plain})"))
     d = d.withColumn(
         "all", F.expr(f"array_sort(concat({plain}, transform(more, m -> named_struct('start', m.start, 'kind', m.kind + 4, 'end', m.end))))")

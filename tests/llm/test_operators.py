@@ -73,6 +73,43 @@ def test_pii_many_spans(spark):
     assert row["n_email"] == 700 and row["base_sha256"] == brute.spans_hash(brute.pii(text), pii.BASE)
 
 
+def best_spans(spans):
+    """Greedy by score: [(start, end, kind, score)]."""
+    kept = []
+    for x in sorted(spans, key=lambda x: (-x[3], x)):
+        if all(x[1] <= k[0] or k[1] <= x[0] for k in kept):
+            kept.append(x)
+    return sorted(kept)
+
+
+def test_pii_overlaps(spark):
+    r = random.Random(7)
+
+    def some(n, wide):
+        return [(a, a + r.randint(1, wide), r.randint(0, 5), round(r.random(), 2)) for a in (r.randint(0, 300) for _ in range(n))]
+
+    rows = [(k, some(r.choice([0, 1, 3, 20]), 12), some(r.choice([0, 2, 30]), 9)) for k in range(60)]
+    rows += [(100, [(0, 10, 0, 0.1), (8, 20, 1, 0.2), (18, 30, 2, 0.3)], []), (101, [(5 * k, 5 * k + 5, 0, 0.5) for k in range(600)], [(5 * k, 5 * k + 1, 0, 0.0) for k in range(300)])]
+    span = "array<struct<start:bigint,end:bigint,kind:int,z:double>>"
+    d = spark.createDataFrame(rows, f"id int, good {span}, base {span}")
+    as_span = "transform({0}, x -> named_struct('kind', x.kind, 'start', x.start, 'end', x.end, 'text', '', 'left', '', 'right', ''))"
+    d = d.withColumn("more", F.expr(pii.best_of("good"))).withColumn("cand", F.expr(as_span.format("good"))).withColumn("b", F.expr(as_span.format("base")))
+    got = d.withColumn("free", F.expr(pii.free_of("b", "cand"))).collect()
+    for (k, good, base), row in zip(rows, sorted(got, key=lambda x: x["id"]), strict=True):
+        assert [tuple(x) for x in row["more"]] == best_spans(good), k
+        free = sorted((a, b, c) for a, b, c, _ in good if not any(x < b and a < y for x, y, _, _ in base))
+        assert sorted((x["start"], x["end"], x["kind"]) for x in row["free"]) == free, k
+    assert [tuple(x)[:2] for x in got[60]["more"]] == [(0, 10), (18, 30)]
+
+
+def test_pii_of_a_text_of_many_addresses(spark):
+    text = " ".join(f"u{k}@mail.yz call 555-0{k % 1000:03d}-{k % 10000:04d}" for k in range(20_000))
+    start = time.perf_counter()
+    row = pii.scan(spark, documents(spark, [text])).first()
+    assert row["n_email"] == 20_000 and row["base_sha256"] == brute.spans_hash(brute.pii(text), pii.BASE)
+    assert time.perf_counter() - start < 90
+
+
 def test_quality(spark):
     r = random.Random(5)
     clean = [" ".join(r.choice("alpha beta gamma delta eps zeta eta theta iota kappa mu nu".split()) + str(r.randint(0, 9999)) for _ in range(r.randint(30, 120))) for _ in range(300)]
