@@ -1,10 +1,12 @@
 """Toxicity: a linear classifier on character n-grams scaled by naive Bayes log-count ratios.
 
 Features are hashed n-grams of 3 to 6 characters of the lower-cased text. Document counts of both
-classes give r = log((p + a) / |p| : (q + a) / |q|) for each; the n-grams with the largest z-scores
-of r stay. Each gives two features, its presence and its density in the text, both times r, and a
-logistic regression sets their weights. Counts and training rows come from a bounded sample of
-labelled rows (SAMPLE, the rows with the smallest hash of doc_id); every document is scored whole.
+classes give r = log((p + a) / |p| : (q + a) / |q|) for each; the n-grams whose r is LEAST_Z standard
+errors from zero stay. Each gives two features, its presence and the logarithm of its density in the
+text, both times r, and a logistic regression sets their weights: L-BFGS on the driver, which holds
+vectors of the features' number (2**BITS at most) alone, with losses and gradients summed in tasks.
+Counts and training rows come from a bounded sample of labelled rows (SAMPLE, the rows with the
+smallest hash of doc_id); every document is scored whole.
 """
 
 from __future__ import annotations
@@ -23,12 +25,16 @@ SAMPLE = 20_000
 BITS = 20
 ORDERS = (3, 4, 5, 6)
 ALPHA = 1.0
-#: Features kept, and how sure their ratio must be.
-MOST_FEATURES, LEAST_Z = 4096, 3.0
+#: How sure a feature's ratio must be.
+LEAST_Z = 3.0
 FOLDS = 5
-ROUNDS = 800
-#: Densities beyond this count as this.
-DENSEST = 4.0
+#: Where the damping of densities sets in.
+BENT = 4.0
+#: Files of training rows: as many partial sums come to the driver for each gradient.
+PARTS = 8
+#: Steps of L-BFGS at most, those it remembers, and the fall of the loss, as a share, at which it stops.
+ROUNDS, REMEMBERED, SETTLED = 100, 8, 1e-5
+L2 = 1.0
 
 
 def ngrams(text: str) -> np.ndarray:
@@ -49,15 +55,16 @@ def ngrams(text: str) -> np.ndarray:
 
 
 def present(ids: np.ndarray, total: int) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct ids, and how often each occurs in a thousand n-grams, at most DENSEST."""
+    """The distinct ids, and the damped density of each: its number in a thousand n-grams, above BENT as a logarithm."""
     own, counts = np.unique(ids, return_counts=True)
-    return own, np.minimum(counts * 1000.0 / (total + 400.0), DENSEST)
+    return own, BENT * np.log1p(counts * 1000.0 / (total + 400.0) / BENT)
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """(text, toxic) of at most ``sample`` labelled documents outside the held-out fold.
 
-    Labels that are null are left out; of several labels of a document the largest counts.
+    Labels that are null are left out; of several labels of a document the largest counts, and of
+    several texts the one of the smallest hash, so the bound holds for repeated rows too.
     """
     chosen = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
@@ -70,7 +77,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> D
     )
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # as many rows of two numbers as the sample's bound
-    return own.join(F.broadcast(chosen), "doc_id").select("text", "toxic")
+    rows = own.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    return rows.select("text", "toxic")
 
 
 def feature_counts(rows: DataFrame) -> DataFrame:
@@ -97,30 +105,78 @@ def feature_counts(rows: DataFrame) -> DataFrame:
     )
 
 
-def fit_logistic(indptr: np.ndarray, columns: np.ndarray, values: np.ndarray, y: np.ndarray, k: int, l2: float = 1.0) -> tuple[np.ndarray, float]:
-    """Weights and bias by accelerated gradient descent on the L2-penalised mean log loss."""
-    n = len(y)
-    row = np.repeat(np.arange(n), np.diff(indptr))
-    # the curvature's bound: the largest eigenvalue of X'X / n, by power iteration (bias included)
-    v, c, most = np.ones(k), 1.0, 1.0
-    for _ in range(30):
-        u = c + np.bincount(row, v[columns] * values, minlength=n)
-        v, c = np.bincount(columns, u[row] * values, minlength=k) / n, u.mean()
-        most = float(np.sqrt(v @ v + c * c)) or 1.0
-        v, c = v / most, c / most
-    step = 1.0 / (0.25 * 1.05 * most + l2 / n)
-    prior = (y.sum() + 0.5) / (n + 1)
-    w, b = np.zeros(k), float(np.log(prior / (1 - prior)))
-    vw, vb, t = w.copy(), b, 1.0
+def lbfgs(loss, w: np.ndarray) -> np.ndarray:
+    """A minimum of ``loss``, which gives (value, gradient), by limited-memory BFGS with step halving."""
+    value, g = loss(w)
+    moves: list[tuple[np.ndarray, np.ndarray]] = []
     for _ in range(ROUNDS):
-        z = vb + np.bincount(row, vw[columns] * values, minlength=n)
-        g = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y
-        w2 = vw - step * (np.bincount(columns, g[row] * values, minlength=k) / n + l2 / n * vw)
-        b2 = vb - step * g.mean()
-        t2 = (1 + np.sqrt(1 + 4 * t * t)) / 2
-        vw, vb = w2 + (t - 1) / t2 * (w2 - w), b2 + (t - 1) / t2 * (b2 - b)
-        w, b, t = w2, b2, t2
-    return w, b
+        d, keep = -g, []
+        for s, y in reversed(moves):
+            keep.append((s @ d) / (s @ y))
+            d = d - keep[-1] * y
+        if moves:
+            s, y = moves[-1]
+            d = d * ((s @ y) / (y @ y))
+        else:
+            d = d / max(1.0, np.sqrt(g @ g))
+        for (s, y), a in zip(moves, reversed(keep), strict=True):
+            d = d + (a - (y @ d) / (s @ y)) * s
+        slope, step = g @ d, 1.0
+        while True:
+            new, grown = loss(w + step * d)
+            if new <= value + 1e-4 * step * slope or step < 1e-6:
+                break
+            step /= 2
+        if new >= value:
+            return w
+        s, y = step * d, grown - g
+        if s @ y > 1e-12:
+            moves = [*moves[1 - REMEMBERED :], (s, y)]
+        w, fall, value, g = w + s, value - new, new, grown
+        if fall <= SETTLED * value:
+            return w
+    return w
+
+
+def mean_loss(spark: SparkSession, data: DataFrame, scale: np.ndarray, n: int):
+    """(weights and bias) -> the L2-penalised mean log loss over the stored rows, and its gradient, summed in tasks."""
+    k = len(scale)
+
+    def run_with(w: np.ndarray):
+        shared = spark.sparkContext.broadcast(w)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            w = shared.value
+            one, two, bias = w[:k] * scale, w[k:-1] * scale, w[-1]
+            loss, g = 0.0, np.zeros(2 * k + 1)
+            for batch in slices(batches, 64):
+                hits = [np.frombuffer(x, "<u4") for x in batch.column("hits").to_pylist()]
+                own = np.concatenate(hits).astype(np.int64)
+                dense = np.frombuffer(b"".join(batch.column("dense").to_pylist()), "<f4").astype(np.float64)
+                row = np.repeat(np.arange(len(hits)), [len(x) for x in hits])
+                y = batch.column("toxic").to_numpy() > 0
+                z = bias + np.bincount(row, one[own] + two[own] * dense, minlength=len(hits))
+                loss += float(np.logaddexp(0.0, np.where(y, -z, z)).sum())
+                error = 1 / (1 + np.exp(-np.clip(z, -500, 500))) - y
+                g[:k] += np.bincount(own, error[row], minlength=k)
+                g[k:-1] += np.bincount(own, error[row] * dense, minlength=k)
+                g[-1] += error.sum()
+            g[:k] *= scale
+            g[k:-1] *= scale
+            yield pa.RecordBatch.from_pydict({"loss": [loss], "g": [g.tobytes()]})
+
+        return run, shared
+
+    def loss(w: np.ndarray) -> tuple[float, np.ndarray]:
+        run, shared = run_with(w)
+        # PARTS rows at most
+        got = data.mapInArrow(run, "loss double, g binary").collect()
+        shared.destroy()
+        free = np.append(w[:-1], 0.0)
+        value = sum(r["loss"] for r in got) / n + 0.5 * L2 / n * (free @ free)
+        return value, sum(np.frombuffer(r["g"]) for r in got) / n + L2 / n * free
+
+    return loss
 
 
 def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray, float]:
@@ -141,15 +197,13 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int =
         .withColumn("r", ratio)
         .withColumn("z", F.abs("r") / F.sqrt(1 / p + 1 / q))
         .filter(F.col("z") >= LEAST_Z)
-        .orderBy(F.col("z").desc(), "feature")
-        .limit(MOST_FEATURES)
         .select("feature", "r")
-        .collect()
+        .toPandas()
     )
-    if not kept:
+    if not len(kept):
         return none
-    features = np.array([x["feature"] for x in kept], np.int64)
-    scale = np.array([x["r"] for x in kept])
+    # of 2**BITS features at most
+    features, scale = kept["feature"].to_numpy(np.int64), kept["r"].to_numpy(float)
     order = np.argsort(features)
     features, scale = features[order], scale[order]
 
@@ -161,35 +215,30 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int =
             for text in texts(batch.column("text")):
                 got = place[ngrams(text)]
                 own, density = present(got[got >= 0], len(got))
-                hits.append(own.astype("<u2").tobytes())
+                hits.append(own.astype("<u4").tobytes())
                 dense.append(density.astype("<f4").tobytes())
             columns = [batch.column("toxic"), pa.array(hits, pa.binary()), pa.array(dense, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["toxic", "hits", "dense"])
 
-    # at most `sample` rows of MOST_FEATURES six-byte entries
-    data = [
-        (r["toxic"], bytes(r["hits"]), bytes(r["dense"]))
-        for r in rows.mapInArrow(sparse, "toxic int, hits binary, dense binary").collect()
-    ]
-    data.sort()
+    data = written(spark, rows.mapInArrow(sparse, "toxic int, hits binary, dense binary").coalesce(PARTS), "toxic-rows")
     k = len(features)
-    columns, values = [], []
-    for _, hits, dense in data:
-        own = np.frombuffer(hits, "<u2").astype(np.int64)
-        columns += [own, own + k]
-        values += [scale[own], scale[own] * np.frombuffer(dense, "<f4")]
-    indptr = np.concatenate([[0], np.cumsum([len(x) for x in columns])[1::2]])
-    y = np.array([r[0] > 0 for r in data], float)
-    w, b = fit_logistic(indptr, np.concatenate(columns), np.concatenate(values), y, 2 * k)
-    return features, np.stack([w[:k] * scale, w[k:] * scale]), b
+    start = np.zeros(2 * k + 1)
+    start[-1] = none[2]
+    w = lbfgs(mean_loss(spark, data, scale, pos + neg), start)
+    return features, np.stack([w[:k] * scale, w[k:-1] * scale]), float(w[-1])
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float]) -> DataFrame:
-    """doc_id, held_out, score, predicted for every row of docs; null and empty texts get the bias's score."""
-    features, weights, bias = model
+    """doc_id, held_out, score, predicted for every row of docs; null and empty texts get the bias's score.
+
+    Repeated rows stay repeated; a null doc_id stays null, and isn't held out, as no label can name it.
+    Columns of docs beside doc_id and text are not looked at.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place = np.full(1 << BITS, -1, np.int16)
+        features, weights, bias = shared.value
+        place = np.full(1 << BITS, -1, np.int32)
         place[features] = np.arange(len(features))
         for batch in slices(batches):
             out = np.full(batch.num_rows, bias)
@@ -205,5 +254,5 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float]) -> DataF
     scores = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
         run, "doc_id long, score double, predicted int"
     )
-    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS == 0
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS == 0, F.lit(False))
     return scores.select("doc_id", held_out.alias("held_out"), "score", "predicted")

@@ -282,6 +282,42 @@ def test_toxicity(spark):
     assert toxicity.score(empty(spark), model).count() == 0
 
 
+def test_toxicity_of_odd_tables(spark):
+    docs = spark.createDataFrame([(None, "a b", 1.0), (7, "x", 2.0), (7, "y", 3.0), (8, None, 4.0)], "doc_id long, text string, score double")
+    labels = spark.createDataFrame([(7, 1), (8, 0), (None, 1)], "doc_id long, toxic int")
+    assert toxicity.training_rows(docs, labels).count() == sum(zlib.crc32(str(k).encode()) % 5 != 0 for k in (7, 8))
+    got = toxicity.score(docs, toxicity.train(spark, docs, labels)).collect()
+    assert len(got) == 4 and [x["held_out"] for x in got if x["doc_id"] is None] == [False]
+    nothing = toxicity.train(spark, docs.limit(0), labels.limit(0))
+    assert {x["score"] for x in toxicity.score(docs, nothing).collect()} == {0.5}
+
+
+def test_logistic_fit(spark):
+    r = np.random.default_rng(4)
+    k, n = 6, 300
+    x = r.random((n, 2 * k)) * (r.random((n, 2 * k)) < 0.5)
+    scale = r.normal(size=k)
+    hits = [np.flatnonzero(x[i, k:]) for i in range(n)]
+    y = (r.random(n) < 0.4).astype(int)
+    rows = [(int(y[i]), hits[i].astype("<u4").tobytes(), x[i, k:][hits[i]].astype("<f4").tobytes()) for i in range(n)]
+    loss = toxicity.mean_loss(spark, spark.createDataFrame(rows, "toxic int, hits binary, dense binary").coalesce(2), scale, n)
+    a = np.hstack([(x[:, k:] > 0) * scale, x[:, k:].astype(np.float32) * scale, np.ones((n, 1))])
+
+    def plain(w):
+        z = a @ w
+        return np.logaddexp(0, np.where(y, -z, z)).mean() + 0.5 / n * (w[:-1] ** 2).sum()
+
+    w = r.normal(size=2 * k + 1)
+    value, g = loss(w)
+    assert abs(value - plain(w)) < 1e-9
+    for j in range(2 * k + 1):
+        e = np.zeros(2 * k + 1)
+        e[j] = 1e-5
+        assert abs(g[j] - (plain(w + e) - plain(w - e)) / 2e-5) < 1e-6
+    best = toxicity.lbfgs(loss, np.zeros(2 * k + 1))
+    assert all(plain(best) <= plain(best + 0.3 * r.normal(size=2 * k + 1)) + 1e-4 for _ in range(50))
+
+
 def test_decontamination(spark):
     item = "If Maria has 12 apples and buys 30.5 kg of pears in Boston, how many apples does Maria have left after giving away 5?"
     again = "Yes. If Peter has 7 apples and buys 9 kg of pears in London, how many apples does Peter have left after giving away 3? Ok"
