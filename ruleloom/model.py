@@ -73,11 +73,6 @@ class RuleSet:
     def constants(self) -> set[Term]:
         return {t for r in self.rules for a in (r.head, *r.body) for t in a.terms if not isinstance(t, Var)}
 
-    def head_predicates(self) -> list[Term] | None:
-        """Constant predicates that rules can derive; None if a head's predicate is a variable."""
-        found = [r.head.p for r in self.rules]
-        return None if any(isinstance(p, Var) for p in found) else list(dict.fromkeys(found))
-
     def mapped(self, ids: dict) -> RuleSet:
         """The rules with constants replaced; ones that ``ids`` lacks become a value that no triple has."""
         swap = lambda t: t if isinstance(t, Var) else ids.get(t, -1)
