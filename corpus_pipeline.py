@@ -3,7 +3,8 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read
 back as the next one's docs. All but the last return the columns of documents. Rows with a null
 doc_id can't be named in a decision, so they pass the dropping stages; rows that share a doc_id
-stand or fall together.
+stand or fall together. Null and empty texts fail the quality rules. An empty table stays empty
+through all stages, and columns beside those of documents stay as they are.
 """
 
 from __future__ import annotations
@@ -34,12 +35,12 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are cut out of the texts."""
+    """Secrets are cut out of the texts; null and empty texts stay as they are, and so do ids, repeated or null."""
     return secret_scan.redact(spark, docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids (little-endian unsigned 32-bit integers)."""
+    """doc_id, n_tokens, ids (little-endian unsigned 32-bit integers); a row for each row, null ids and texts (no tokens) too."""
     return bpe.encode_documents(docs, tokenizer_json("byte_bpe_50k.json"))
 
 
