@@ -170,9 +170,14 @@ def word_encoder(tokenizer_json: str, width: str):
 
     from .bpe import SPACE, byte_letters
 
-    tok = Tokenizer.from_str(tokenizer_json)
-    tok.no_truncation()
-    tok.no_padding()
+    @functools.cache
+    def whole():
+        """The library's tokenizer, which holds vocabulary and merges a second time: made for the first word that needs it."""
+        tok = Tokenizer.from_str(tokenizer_json)
+        tok.no_truncation()
+        tok.no_padding()
+        return tok
+
     spec = json.loads(tokenizer_json)
     added = [x["content"] for x in spec["added_tokens"]]
     spec = spec["model"]
@@ -191,7 +196,7 @@ def word_encoder(tokenizer_json: str, width: str):
         return array.array(kind, [x.id for x in model.tokenize(mapped)]).tobytes()
 
     def word_ids(word: str) -> bytes:
-        return array.array(kind, tok.encode(word, add_special_tokens=False).ids).tobytes()
+        return array.array(kind, whole().encode(word, add_special_tokens=False).ids).tobytes()
 
     latin, words = Memo(latin_ids, PIECES_KEPT), Memo(word_ids, PIECES_KEPT // 4)
     # str.split() also cuts at four controls which the tokenizer keeps as symbols
@@ -215,7 +220,7 @@ PRINTABLE = re.compile(rb"[!-~]+")
 def tokenized(docs: DataFrame, tokenizer_json: str, end_id: int = END_ID) -> DataFrame:
     """(doc_id, ids, seen): the ids of each document as packed integers of 2 bytes if the vocabulary allows, else 4.
 
-    A task's last row holds no document but, in ``seen``, what it counted: ids and their numbers, packed.
+    A task's last row holds no document but, in ``seen``, what it counted (``packed_counts``).
     """
     width = tokenizer_width(tokenizer_json, end_id)
 
@@ -230,7 +235,7 @@ def tokenized(docs: DataFrame, tokenizer_json: str, end_id: int = END_ID) -> Dat
             )
         some = np.flatnonzero(total)
         if len(some):
-            seen = some.astype("<i8").tobytes() + total[some].astype("<i8").tobytes()
+            seen = packed_counts(some, total[some])
             yield pa.RecordBatch.from_arrays(
                 [pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([seen], pa.binary())], ["doc_id", "ids", "seen"]
             )
@@ -240,6 +245,17 @@ def tokenized(docs: DataFrame, tokenizer_json: str, end_id: int = END_ID) -> Dat
     )
 
 
+def packed_counts(ids: np.ndarray, n: np.ndarray) -> bytes:
+    """Ascending ids and their numbers, few bytes each: every task writes one such row, however small its input."""
+    return zlib.compress(np.diff(ids, prepend=0).astype("<u4").tobytes() + n.astype("<u8").tobytes(), 1)
+
+
+def unpacked_counts(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    raw = zlib.decompress(raw)
+    n = len(raw) // 12
+    return np.cumsum(np.frombuffer(raw, "<u4", n).astype(np.int64)), np.frombuffer(raw, "<u8", n, 4 * n).astype(np.int64)
+
+
 def added_up(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The sum of two arrays of counts, the shorter one filled up with zeros."""
     a, b = (a, b) if len(a) >= len(b) else (b, a)
@@ -261,7 +277,7 @@ def id_counts(tokens: DataFrame) -> DataFrame:
         total = np.zeros(0, np.int64)
         for batch in batches:
             for raw in batch.column("seen").to_pylist():
-                ids, n = np.frombuffer(raw, "<i8").reshape(2, -1)
+                ids, n = unpacked_counts(raw)
                 own = np.zeros(int(ids[-1]) + 1, np.int64)
                 own[ids] = n
                 total = added_up(total, own)
@@ -314,7 +330,7 @@ def write_blocks(spark: SparkSession, docs: DataFrame, tokenizer_json: str, path
             block, ids_before = block + 1, ids_before + len(ids)
             return pa.RecordBatch.from_pydict(row, schema=ARROW_BLOCK)
 
-        for batch in batches:
+        for batch in slices(batches):
             for doc, raw in zip(batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist(), strict=True):
                 own = np.frombuffer(raw, width)
                 if held and n_held + len(own) > BLOCK_IDS:

@@ -524,6 +524,16 @@ def test_token_blocks(spark, monkeypatch, block):
     assert huffman.encode_and_digest(spark, empty(spark), name).count() == 0
 
 
+
+def test_counts_that_tasks_leave_are_small():
+    ids, n = np.arange(0, 49_000, 2), np.arange(1, 24_501) % 700 + 1
+    raw = huffman.packed_counts(ids, n)
+    assert len(raw) < 4 * len(ids)
+    assert [x.tolist() for x in huffman.unpacked_counts(raw)] == [ids.tolist(), n.tolist()]
+    far = np.array([0, 7, (1 << 32) - 1])
+    assert [x.tolist() for x in huffman.unpacked_counts(huffman.packed_counts(far, far + (1 << 40)))] == [far.tolist(), (far + (1 << 40)).tolist()]
+
+
 def test_crc_join():
     r = random.Random(2)
     for _ in range(20):
