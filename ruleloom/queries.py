@@ -22,7 +22,7 @@ from .plans import incremental as inc
 from .plans.compiler import Source, apply_once, instantiations
 from .plans.store import KnowledgeBase
 from .sources import ntriples, rulefile, tables
-from .sources.lineage import fresh_path, written
+from .sources.lineage import fresh_path, passes_for, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -209,8 +209,9 @@ def dict_popular(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT s, p, o FROM {rows_of(g.FULL)}")
 def decode_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    encoded, names = d.compress(spark, g.run(spark, sf_dir, g.FULL), threshold=1000)
-    return d.decode(encoded, names)
+    rows = g.run(spark, sf_dir, g.FULL)
+    encoded, names = d.compress(spark, rows, threshold=1000)
+    return d.decode(encoded, names, passes=passes_for(rows))
 
 
 #: Ids with the popular terms of a graph t in front.

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import posixpath
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -21,6 +24,9 @@ def shared_root(spark: SparkSession) -> str:
 
 #: Bytes of Parquet files that may be sent to every executor; terms may be long texts, so rows alone are no bound.
 BROADCAST_BYTES = 64 << 20
+#: Estimated bytes to be shuffled in one pass, and how many passes there are at most (beyond that each one is larger).
+PASS_BYTES, MOST_PASSES = 160 << 20, 32
+SHUFFLES_DROPPED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
@@ -31,12 +37,57 @@ def fits(table: DataFrame, rows: int, counted: int | None = None) -> bool:
     """Whether a stored table is small enough to be broadcast, by its rows and the bytes of its files."""
     if (table.count() if counted is None else counted) > rows:
         return False
-    return int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= BROADCAST_BYTES
+    return planned_bytes(table) <= BROADCAST_BYTES
+
+
+def planned_bytes(df: DataFrame) -> int:
+    """Spark's estimate of df's size; for a stored table the bytes of its files."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def passes_for(df: DataFrame) -> int:
+    """In how many passes to shuffle df, so that only a part of it lies in shuffle files at a time."""
+    return min(-(-planned_bytes(df) // PASS_BYTES), MOST_PASSES) or 1
+
+
+def in_pass(k: int, passes: int, by: Column) -> Column:
+    """Whether a row belongs to pass k: every row, nulls too, belongs to one."""
+    return F.pmod(F.xxhash64(by), F.lit(passes)) == k
+
+
+@contextlib.contextmanager
+def shuffles_dropped(spark: SparkSession):
+    """Shuffle files of what runs inside go when it has run, not when the driver next collects its garbage."""
+    before = spark.conf.get(SHUFFLES_DROPPED, None)
+    spark.conf.set(SHUFFLES_DROPPED, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(SHUFFLES_DROPPED)
+        else:
+            spark.conf.set(SHUFFLES_DROPPED, before)
 
 
 def written(df: DataFrame, label: str = "step") -> DataFrame:
     """df as a Parquet table of its own."""
-    spark = df.sparkSession
+    return written_parts([df], label)
+
+
+def written_parts(parts: list[DataFrame], label: str) -> DataFrame:
+    """Parts of one schema as a Parquet table, one after the other; each one's shuffle files go before the next."""
+    spark = parts[0].sparkSession
     path = fresh_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    with shuffles_dropped(spark):
+        for df in parts:
+            df.write.mode("append").option("compression", "zstd").parquet(path)
+    return spark.read.schema(parts[0].schema).parquet(path)
+
+
+def removed(table: DataFrame) -> None:
+    """Deletes a table that ``written`` made, once nothing reads it any more."""
+    spark = table.sparkSession
+    for path in {posixpath.dirname(x) for x in table.inputFiles()}:
+        if posixpath.basename(path).startswith("ruleloom-"):
+            found = spark._jvm.org.apache.hadoop.fs.Path(path)
+            found.getFileSystem(spark._jsc.hadoopConfiguration()).delete(found, True)
