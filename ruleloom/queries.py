@@ -22,7 +22,7 @@ from .plans import incremental as inc
 from .plans.compiler import Source, apply_once, instantiations
 from .plans.store import KnowledgeBase
 from .sources import ntriples, rulefile, tables
-from .sources.lineage import fresh_path, passes_for, written
+from .sources.lineage import fresh_path, in_pass, passes_for, removed, written, written_parts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -521,11 +521,18 @@ def rdfs_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(rdfs_sql(g.FULL))
 def rdfs_closure_one_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole graph, over ids, reading instance triples once; the fixpoint if that doesn't hold."""
-    encoded, names = d.compress(spark, g.run(spark, sf_dir, g.FULL))
+    rows = g.run(spark, sf_dir, g.FULL)
+    passes = passes_for(rows)
+    encoded, names = d.compress(spark, rows)
     ids = d.ids_of(names, [TYPE, RANGE, DOMAIN, SUBPROPERTY, SUBCLASS])
     rules = rulefile.rdfs().mapped(ids)
     closed = c.rdfs_closure(encoded, ids) if c.one_pass_holds(encoded, ids) else c.closure(encoded, rules).select(*SPO)
-    return d.decode(closed, names)
+    if passes > 1:
+        # each part reads the triples again; ids take a third of the room that texts do in a shuffle
+        few = -(-passes // 3)
+        closed = written_parts([closed.filter(in_pass(k, few, F.col("s"))) for k in range(few)], "closed")
+        removed(encoded)
+    return d.decode(closed, names, passes=passes)
 
 
 @query(rdfs_sql(g.CORE, COUNTS))

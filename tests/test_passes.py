@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import glob
+import os
 import time
 
+import duckdb
+
+from ruleloom import queries
 from ruleloom.functions.terms import TYPE
 from ruleloom.operators import dictionary
 from ruleloom.sources import lineage
 
+SF = "/root/testdata/sf0.001"
+
 
 def _terms_of_every_kind(spark):
     rows = [(f"<s{k % 90}>", f"<p{k % 4}>", f"<o{k % 37}>" if k % 3 else "<hot>") for k in range(700)]
@@ -53,3 +60,12 @@ def test_stored_steps_go(spark, tmp_path, monkeypatch):
     left = {x.name.split("-")[1] for x in tmp_path.iterdir()}
     assert not left & {"text", "terms"} and sum("looked" in x.name for x in tmp_path.iterdir()) == 1
     assert ids.count() == triples.distinct().count() and names.count() > 42
+
+
+def test_one_pass_closure_in_passes(spark, monkeypatch):
+    con = duckdb.connect()
+    for path in glob.glob(f"{SF}/*.parquet"):
+        con.sql(f"CREATE VIEW {os.path.basename(path)[:-8]} AS SELECT * FROM '{path}'")
+    monkeypatch.setattr(lineage, "PASS_BYTES", 90_000)
+    got = queries.rdfs_closure_one_pass(spark, SF).select("s", "p", "o").collect()
+    assert sorted(map(tuple, got)) == sorted(con.sql(f"SELECT s, p, o FROM ({queries.ORACLE_SQL['rdfs_closure_one_pass']})").fetchall())
