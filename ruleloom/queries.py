@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from . import graphs as g
 from .functions import terms
 from .model import SPO, Atom, RuleSet, Var
+from .operators import bulk
 from .operators import dictionary as d
 from .operators import triples as t
 from .plans import closure as c
@@ -210,8 +211,11 @@ def dict_popular(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT s, p, o FROM {rows_of(g.FULL)}")
 def decode_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = g.run(spark, sf_dir, g.FULL)
+    passes = passes_for(rows)
+    if passes > 1 and (coded := bulk.compress(spark, rows, 1000, g.run(spark, sf_dir, g.once(g.FULL)))):
+        return bulk.decode(coded)
     encoded, names = d.compress(spark, rows, threshold=1000)
-    return d.decode(encoded, names, passes=passes_for(rows))
+    return d.decode(encoded, names, passes=passes)
 
 
 #: Ids with the popular terms of a graph t in front.
