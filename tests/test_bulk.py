@@ -63,7 +63,7 @@ def test_edges_read_together(spark):
     assert graphs.once(graphs.FULL).count("{lineitem}") == 1
 
 
-@pytest.mark.parametrize("name", ["decode_roundtrip"])
+@pytest.mark.parametrize("name", ["decode_roundtrip", "rdfs_closure_one_pass"])
 def test_large_graph_is_read_once(spark, duck, monkeypatch, name):
     """Before, each pass read all tables again."""
     reads = []
